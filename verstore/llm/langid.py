@@ -14,6 +14,8 @@ SAMPLE = 300
 #: Longest piece of the vocabulary used, in letters; longest word that training uses.
 PIECE, WORD = 6, 24
 ROUNDS, SMOOTHING = 3, 0.05
+#: Nats by which one word can speak against a language, at most: a passage in another language doesn't outweigh the rest.
+FLOOR = 5.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,6 +177,7 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     index, strings = letters(flat)
     points, starts = code_points(strings)
     ll, has = model.log_likelihood(points, starts), np.diff(starts)
+    ll = np.maximum(ll - ll.max(axis=1, keepdims=True, initial=-1e300), -FLOOR)
     run = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(ll[index], axis=0)])
     letters_run = np.concatenate([[0], np.cumsum(has[index])])
     doc, n = run[at[1:]] - run[at[:-1]], letters_run[at[1:]] - letters_run[at[:-1]]

@@ -15,7 +15,7 @@ from verstore.llm.common import read
 #: Bytes of a string that counts as repeated; of the leading part by which suffixes are sampled and sorted.
 LENGTH, LEAD = 50, 24
 #: Bytes of text in a block of documents, about; anchors in a bucket, about.
-BLOCK, BUCKET = 24 << 20, 3 << 20
+BLOCK, BUCKET = 12 << 20, 1 << 20
 PIECE = 4 << 20
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,9 +152,7 @@ def send_keys(table: pa.Table, buckets: int) -> pa.Table:
     """To each bucket the block's distinct keys and whether several documents of the block have each."""
     block, b = table.column("block")[0].as_py(), Block(table, buckets)
     key = b.key[b.first]
-    stop = np.append(b.first[1:], len(b.key))
     many = np.maximum.reduceat(b.row, b.first) != np.minimum.reduceat(b.row, b.first) if len(b.first) else np.zeros(0, bool)
-    del stop
     rows = []
     for k, (lo, hi) in enumerate(zip(b.bound[:-1], b.bound[1:])):
         if hi > lo:
@@ -229,33 +227,57 @@ def send_contexts(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     return message(rows)
 
 
+def rolling(rows: np.ndarray):
+    """For each place at which a string starts, two independent 64-bit hashes of the strings there, row by row."""
+    columns = np.ascontiguousarray(rows.T)
+    for_both = [np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)]
+    drop = [np.uint64(pow(int(m), LENGTH, 1 << 64)) for m in (A, B)]
+    for i, column in enumerate(columns):
+        byte = column.astype(np.uint64) + np.uint64(1)
+        for h, m, d in zip(for_both, (A, B), drop):
+            h *= m
+            h += byte
+            if i >= LENGTH:
+                h -= (columns[i - LENGTH].astype(np.uint64) + np.uint64(1)) * d
+        if i >= LENGTH - 1:
+            yield i - LENGTH + 1, scramble(for_both[0]), scramble(for_both[1])
+
+
 def earlier(table: pa.Table) -> pa.Table:
     """Back to each block, by context a bit for each place: whether a smaller document has the string that starts there.
 
     The bucket's strings are sorted by their hash, place by place; one pass over
-    neighbours finds each group's smallest document and compares the bytes.
+    neighbours finds each group's smallest document and checks a second hash.
     """
     width, places = 2 * LENGTH - LEAD, LENGTH - LEAD + 1
     raw = [(r["block"], r["bucket"], r["n"], stretch(r["payload"])) for r in table.to_pylist()]
     text = np.concatenate([np.frombuffer(p, np.uint8, n * width).reshape(n, width) for _, _, n, p in raw])
     fits = np.concatenate([np.frombuffer(p, np.int8, 2 * n, n * width).reshape(2, n) for _, _, n, p in raw], axis=1)
     doc = np.concatenate([np.frombuffer(p, np.int64, n, n * (width + 2)) for _, _, n, p in raw])
-    mask = np.zeros(len(doc), np.uint32)
-    for k in range(places):
+    # Surroundings that several blocks sent are compared once, as those of their smallest document.
+    sign = rows_hash(np.hstack([text, fits.T.view(np.uint8)]))
+    order = np.lexsort((doc, sign))
+    new = np.concatenate([[True], np.diff(sign[order]) != 0])
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    text, fits, least_doc = text[order[new]], fits[:, order[new]], doc[order[new]]
+    mask = np.zeros(len(text), np.uint32)
+    for k, signs, checks in rolling(text):
         here = np.flatnonzero((fits[0] <= k) & (k <= fits[1]))
-        sign = rows_hash(text[here, k : k + LENGTH]) if len(here) else np.zeros(0, np.uint64)
-        order = np.argsort(sign, kind="stable")
-        sign, rows = sign[order], here[order]
-        new = np.concatenate([[True], np.diff(sign) != 0]) if len(sign) else np.zeros(0, bool)
-        if not len(new) or new.all():
+        order = np.argsort(signs[here])
+        rows = here[order]
+        alike = np.diff(signs[rows]) == 0
+        if not alike.any():
             continue
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc[rows], first)[group]
-        alike = np.flatnonzero(~new)
-        if (text[rows[alike], k : k + LENGTH] != text[rows[alike - 1], k : k + LENGTH]).any():
+        if (np.diff(checks[rows])[alike] != 0).any():
             raise ValueError("two strings share a 64-bit hash; change the multipliers")
-        mask[rows[doc[rows] > least]] |= np.uint32(1 << k)
+        first = np.flatnonzero(np.concatenate([[True], ~alike]))
+        least = np.repeat(np.minimum.reduceat(least_doc[rows], first), np.diff(np.append(first, len(rows))))
+        mask[rows[least_doc[rows] > least]] |= np.uint32(1 << k)
+    whole = np.zeros(len(text), np.uint32)
+    for k in range(places):
+        whole |= np.where((fits[0] <= k) & (k <= fits[1]), np.uint32(1 << k), np.uint32(0))
+    mask = np.where(doc > least_doc[own], whole[own], mask[own])
     at = np.concatenate([[0], np.cumsum([n for _, _, n, _ in raw])])
     return message([(block, bucket, n, squeeze(mask[a : a + n])) for (block, bucket, n, _), a in zip(raw, at)])
 
@@ -269,13 +291,17 @@ def covered(b: Block, s: Shared, replies: pa.Table) -> np.ndarray:
     own = mask[s.cls] if len(s.cls) else np.zeros(0, np.uint32)
     doc = b.doc[b.row[s.at]]
     later = doc > doc[s.speaker][s.cls] if len(s.cls) else np.zeros(0, bool)
-    change = np.zeros(len(b.data) + 1, np.int32)
+    starts = np.zeros(len(b.data), bool)
     for k in range(LENGTH - LEAD + 1):
         hit = ((own >> np.uint32(k)) & np.uint32(1)).astype(bool) | (later & (s.fits[0] <= k) & (k <= s.fits[1]))
-        begin = b.place[s.at[hit]] - (LENGTH - LEAD) + k
-        change += np.bincount(begin, minlength=len(change)).astype(np.int32)
-        change -= np.bincount(begin + LENGTH, minlength=len(change)).astype(np.int32)
-    return np.cumsum(change)[:-1] > 0
+        starts[b.place[s.at[hit]] - (LENGTH - LEAD) + k] = True
+    begin = np.flatnonzero(starts)
+    gone = np.zeros(len(b.data), bool)
+    # Strings that touch or overlap are one run.
+    first = np.flatnonzero(np.diff(begin, prepend=-LENGTH - 1) > LENGTH)
+    for lo, hi in zip(begin[first].tolist(), (begin[np.append(first[1:], len(begin)) - 1] + LENGTH).tolist() if len(begin) else []):
+        gone[lo:hi] = True
+    return gone
 
 
 def strip(docs: pa.Table, replies: pa.Table, masks: pa.Table, buckets: int, texts: bool) -> pa.Table:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verstore.llm.common import bound_batches, chunks, held_out, read, words
 from verstore.llm.langid import code_points
+from verstore.llm.minhash import shingle_sets
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 4000
@@ -194,12 +195,38 @@ def lexicon(counts: DataFrame, share: float) -> tuple[list[str], list[str], list
     return own, stems[:TERMS], [t for t in own if len(t) >= LONG][:FUZZY]
 
 
+def unlike(rows: DataFrame) -> DataFrame:
+    """The sample's rows without near copies of others: what many copies of one document say counts once.
+
+    Documents that share 2 of 8 least hashes of their 3-word shingles with
+    earlier ones go.  The driver sees 8 numbers for each document of the bounded sample.
+    """
+
+    def run(batches):
+        for part in chunks(batches):
+            sets = shingle_sets(part.column("text"), 3)
+            odd = np.arange(1, 17, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+            least = np.array([(s[None, :] * odd).min(axis=1) if len(s) else np.zeros(8, np.uint64) for s in sets]).reshape(-1, 8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in least.T]], names=["doc_id", *[f"h{k}" for k in range(8)]])
+
+    names = [f"h{k} long" for k in range(8)]
+    found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(names)).collect()
+    seen, gone = set(), []
+    for r in sorted(found, key=lambda r: r[0]):
+        own = {(k, v) for k, v in enumerate(r[1:])}
+        if len(own & seen) >= 2:
+            gone.append((r[0],))
+        seen |= own
+    drop = rows.sparkSession.createDataFrame(gone, f"doc_id {dict(rows.dtypes)['doc_id']}")
+    return rows.join(F.broadcast(drop), "doc_id", "left_anti").select("toxic", "text")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float, float]:
     """toxic and text of at most `sample` documents of each label, the share of toxic ones there and among all labelled rows."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     each = [known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic") for k in (0, 1)]
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(each[0].unionByName(each[1])), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(each[0].unionByName(each[1])), "doc_id").select("doc_id", "toxic", "text")
     few = {k: min(sample, n.get(k, 0)) for k in (0, 1)}
     clip = lambda a, b: min(max(a / max(1, a + b), 1e-3), 1 - 1e-3)
     return rows, clip(few[1], few[0]), clip(n.get(1, 0), n.get(0, 0))
@@ -209,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.toxic from at most `sample` documents of each label that are not held out."""
     rows, share, prior = sampled(docs, labels, sample)
     rows = rows.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism)).persist()
+    own = unlike(rows).persist()
 
     def count(batches):
         for part in chunks(batches):
@@ -231,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for kind, terms, bad, good in out:
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), terms.cast(pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["kind", "term", "bad", "good"])
 
-    counts = rows.mapInArrow(count, "kind int, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 1").persist()
+    counts = own.mapInArrow(count, "kind int, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 1").persist()
     machine = Automaton(*lexicon(counts, share))
     counts.unpersist()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -241,7 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(shared.value, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), *[pa.array(c) for c in x.T]], names=["y", *[f"f{k}" for k in range(FEATURES)]])
 
-    got = rows.mapInArrow(measure, "y double, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas().to_numpy()
+    got = own.mapInArrow(measure, "y double, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas().to_numpy()
+    own.unpersist()
     rows.unpersist()
     if not len(got):
         return Model(machine, np.append(np.log(prior / (1 - prior)), np.zeros(FEATURES)))
