@@ -1,9 +1,255 @@
-"""The queries of the engine and the same in SQL."""
+"""The queries of the engine over the tables, and the same in SQL."""
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verstore.functions import codec
+from verstore.operators import reads, upkeep
+from verstore.sources.oplogs import events_log, filled, orders_log, turns_log
+from verstore.streaming.latest import drain
+
+SNAPSHOT, OLDER, START, STOP, FULL, BLOCK = 5000, 2500, "user:00000010", "user:00000050", 16384, 4096
+BITS, PROBES = 20000, 4000
+
+LOG = """WITH log AS (SELECT 'user:' || lpad(user_id::VARCHAR, 8, '0') AS key, event_id AS seq, (event_type = 'error')::INT AS kind,
+  CASE WHEN event_type <> 'error' THEN event_type || ':' || coalesce(props, '') END AS value FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log),
+newest AS (SELECT key, seq, kind, value FROM ranked WHERE rn = 1), live AS (SELECT key, seq, value FROM newest WHERE kind = 0),
+sized AS (SELECT key, seq, kind, value, (strlen(key) + 8 + coalesce(strlen(value), 0))::BIGINT AS size FROM log)"""
+
+
+def _as_of(where: str) -> str:
+    return f"(SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM log WHERE {where}) WHERE n = 1 AND kind = 0)"
+
+
+def _probes(spark: SparkSession) -> DataFrame:
+    """Keys there and not there, each asked as of three moments and of now."""
+    p = spark.range(0, PROBES).select(F.format_string("user:%08d", F.col("id") * 2).alias("key"), "id")
+    return p.withColumn("as_of_seq", F.when(F.col("id") % 4 < 3, (F.col("id") % 4 + 1) * 2500))
+
+
+PROBE = f"probe AS (SELECT 'user:' || lpad((i * 2)::VARCHAR, 8, '0') AS key, CASE WHEN i % 4 < 3 THEN (i % 4 + 1) * 2500 END AS as_of_seq FROM range({PROBES}) t(i))"
+
+
+def _sources(log: DataFrame) -> list[DataFrame]:
+    return [log.where(F.col("seq") % 3 == k) for k in range(3)]
+
+
+def _ranked(log: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    # A rank in the whole order, by ranges of keys: counts by key, then inside a key.
+    keys = log.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    start = keys.withColumn("cell", F.substring("key", 1, 10)).groupBy("cell").agg(F.sum("n").alias("s"))
+    start = start.select("cell", F.coalesce(F.sum("s").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    del before
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("key", F.desc("seq")))
+    return log.withColumn("cell", F.substring("key", 1, 10)).withColumn("i", inside).join(start, "cell").select("key", "seq", (F.col("before") + F.col("i")).alias("position"))
+
+
+def _edits(log: DataFrame) -> DataFrame:
+    """Made-up edits: each hundredth entry adds a file, and from the third on deletes the one two before."""
+    k = F.floor(F.col("seq") / 100)
+    f = lambda n: F.struct(F.lit(0).alias("level"), n.alias("file_num"))
+    none = F.array().cast("array<struct<level:int,file_num:bigint>>")
+    return log.where(F.col("seq") % 100 == 0).select(k.alias("pos"), F.array(f(k)).alias("add_files"), F.when(k % 3 == 2, F.array(f(k - 2))).otherwise(none).alias("del_files"), F.when(k % 5 == 0, F.lit(0)).otherwise(k + 1).alias("next_file_num"), F.col("seq").alias("last_seq"))
+
+
+EDITS = "edits AS (SELECT seq // 100 AS k, seq FROM log WHERE seq % 100 = 0)"
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    single = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
+    gone = F.col("event_type") == "error"
+    log = single.select(F.format_string("user:%08d", "user_id").alias("key"), F.col("event_id").alias("seq"), gone.cast("int").alias("kind"), F.when(~gone, F.concat_ws(":", "event_type", F.coalesce("props", F.lit("")))).alias("value"))
+    return drain(log)
+
+
+def _seek_entry(log: DataFrame) -> DataFrame:
+    return reads.seek_entry(log, START, SNAPSHOT).select("key", "seq", "kind")
+
+
+def _codec(log: DataFrame) -> DataFrame:
+    i = log.select("key", "seq", "kind", codec.internal_key(F.col("key"), F.col("seq"), F.col("kind")).alias("internal_key"))
+    seq, kind = codec.trailer(F.col("internal_key"))
+    return i.select("internal_key", codec.user_key(F.col("internal_key")).alias("key"), seq.alias("seq"), kind.alias("kind"), codec.uvarint_size(F.col("seq")).alias("seq_varint_bytes"))
+
+
+def _bloom(log: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(key, position) of the filter's keys and of keys that are not in it."""
+    spots = lambda df: df.select("key", F.explode(codec.bloom_positions(codec.fnv1a(F.col("key")), BITS)).alias("position"))
+    return spots(log.select("key").distinct()), spots(spark.range(PROBES).select(F.format_string("out:%08d", "id").alias("key")))
+
+
+def _passing(probes: DataFrame, members: DataFrame) -> DataFrame:
+    bits = members.select("position").distinct()
+    hit = probes.join(bits.withColumn("on", F.lit(1)), "position", "left")
+    return hit.groupBy("key").agg(F.min(F.coalesce("on", F.lit(0))).alias("maybe"))
+
+
+def _false_negatives(log: DataFrame, spark: SparkSession) -> DataFrame:
+    own, _ = _bloom(log, spark)
+    return _passing(own, own).agg(F.sum(1 - F.col("maybe")).cast("long").alias("false_negatives"), F.count(F.lit(1)).alias("keys"))
+
+
+def _false_positives(log: DataFrame, spark: SparkSession) -> DataFrame:
+    own, other = _bloom(log, spark)
+    return _passing(other, own).agg((F.sum("maybe") / F.count(F.lit(1)) < 0.02).alias("below_two_percent"), F.count(F.lit(1)).alias("probes"))
+
+
+def _first_missing(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """The smallest number whose user key is not alive."""
+    return spark.range(100_000).select("id", F.format_string("user:%08d", "id").alias("key")).join(reads.live(log), "key", "left_anti").agg(F.min("id").alias("first_missing"))
+
+
+def _overlay(log: DataFrame) -> DataFrame:
+    return reads.live(upkeep.compacted(log.where(F.col("seq") < SNAPSHOT)).unionByName(log.where(F.col("seq") >= SNAPSHOT)))
+
+
+def _wal(log: DataFrame) -> DataFrame:
+    last = log.agg(F.max("seq").alias("m"))
+    rows = log.select(F.col("seq").alias("pos"), "key", "kind").crossJoin(F.broadcast(last)).select("pos", "key", "kind", (F.col("pos") < F.col("m")).alias("ok"))
+    return upkeep.valid_prefix(rows).drop("ok")
+
+
+def _source_of(log: DataFrame) -> DataFrame:
+    parts = [s.withColumn("source", F.lit(n)) for s, n in zip((log.where(F.col("seq") < OLDER), log.where((F.col("seq") >= OLDER) & (F.col("seq") < SNAPSHOT)), log.where(F.col("seq") >= SNAPSHOT)), ("l0", "imm", "mem"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("key").agg(F.max_by(F.struct("source", "kind"), "seq").alias("x")).select("key", "x.source", F.col("x.kind").alias("state"))
+
+
+#: name: (function of (spark, log, sf_dir), SQL or None)
+TABLE = {
+    "scan_live": (lambda s, g, d: reads.live(g), f"{LOG} SELECT * FROM live"),
+    "scan_range": (lambda s, g, d: reads.live(g, start=START, stop=STOP), f"{LOG} SELECT * FROM live WHERE key >= '{START}' AND key < '{STOP}'"),
+    "scan_from": (lambda s, g, d: reads.live(g, start=STOP), f"{LOG} SELECT * FROM live WHERE key >= '{STOP}'"),
+    "scan_to": (lambda s, g, d: reads.live(g, stop=START), f"{LOG} SELECT * FROM live WHERE key < '{START}'"),
+    "scan_empty_range": (lambda s, g, d: reads.live(g, start=STOP, stop=START), f"{LOG} SELECT * FROM live WHERE FALSE"),
+    "scan_limit": (lambda s, g, d: reads.scan(g, limit=30), f"{LOG} SELECT * FROM live ORDER BY key LIMIT 30"),
+    "scan_snapshot": (lambda s, g, d: reads.live(g, SNAPSHOT), f"{LOG} SELECT * FROM {_as_of(f'seq < {SNAPSHOT}')}"),
+    "scan_snapshot_range": (lambda s, g, d: reads.live(g, SNAPSHOT, START, STOP), f"{LOG} SELECT * FROM {_as_of(f'seq < {SNAPSHOT}')} WHERE key >= '{START}' AND key < '{STOP}'"),
+    "scan_snapshot_diff": (
+        lambda s, g, d: reads.snapshot_diff(g, OLDER, SNAPSHOT),
+        f"{LOG} SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS was, b.value AS now FROM {_as_of(f'seq < {OLDER}')} a FULL JOIN {_as_of(f'seq < {SNAPSHOT}')} b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value",
+    ),
+    "scan_live_orders": (
+        lambda s, g, d: reads.live(orders_log(s, d)),
+        "SELECT key, seq, value FROM (SELECT 'cust:' || lpad(o_custkey::VARCHAR, 8, '0') AS key, o_orderkey AS seq, o_orderstatus = 'F' AS gone, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND NOT gone",
+    ),
+    "scan_live_turns": (
+        lambda s, g, d: reads.live(turns_log(s, d)),
+        "SELECT key, seq, value FROM (SELECT 'conv:' || lpad(conv_id::VARCHAR, 8, '0') AS key, turn AS seq, text AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
+    ),
+    "point_get": (lambda s, g, d: reads.get(g, START), f"{LOG} SELECT * FROM live WHERE key = '{START}'"),
+    "get_state": (
+        lambda s, g, d: reads.get_state(g, _probes(s)),
+        f"{LOG}, {PROBE} SELECT p.key, coalesce(n.kind, 2)::INT AS state, CASE WHEN n.kind = 0 THEN n.value END AS value FROM probe p LEFT JOIN newest n ON p.key = n.key",
+    ),
+    "get_as_of": (
+        lambda s, g, d: reads.get_as_of(g, _probes(s)).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("as_of_seq", "seq")}),
+        f"{LOG}, {PROBE}, m AS (SELECT p.key, p.as_of_seq, g.seq, g.kind, g.value, row_number() OVER (PARTITION BY p.key, p.as_of_seq ORDER BY g.seq DESC NULLS LAST) AS n FROM probe p LEFT JOIN log g ON g.key = p.key AND (p.as_of_seq IS NULL OR g.seq <= p.as_of_seq)) SELECT key, coalesce(as_of_seq, -1)::BIGINT AS as_of_seq, coalesce(kind, 2)::INT AS state, CASE WHEN kind = 0 THEN value END AS value, coalesce(seq, -1)::BIGINT AS seq FROM m WHERE n = 1",
+    ),
+    "get_source": (
+        lambda s, g, d: _source_of(g),
+        f"{LOG} SELECT key, CASE WHEN seq < {OLDER} THEN 'l0' WHEN seq < {SNAPSHOT} THEN 'imm' ELSE 'mem' END AS source, kind AS state FROM newest",
+    ),
+    "seek_first_geq": (
+        lambda s, g, d: reads.seek(g, _probes(s)),
+        f"{LOG}, {PROBE} SELECT p.key AS probe, (SELECT min(key) FROM live WHERE live.key >= p.key) AS key FROM probe p",
+    ),
+    "seek_internal": (lambda s, g, d: _seek_entry(g), f"{LOG} SELECT key, seq, kind FROM log WHERE key > '{START}' OR (key = '{START}' AND seq <= {SNAPSHOT}) ORDER BY key, seq DESC LIMIT 1"),
+    "raw_scan": (lambda s, g, d: reads.merge(g), f"{LOG} SELECT * FROM log"),
+    "raw_scan_labeled": (
+        lambda s, g, d: reads.labelled(g),
+        f"{LOG} SELECT key, seq, kind, CASE kind WHEN 0 THEN 'put' ELSE 'delete' END AS kind_name, CASE WHEN kind = 1 THEN 'tombstone' WHEN rn > 1 THEN 'shadowed' ELSE 'current' END AS label FROM ranked",
+    ),
+    "internal_key_rank": (lambda s, g, d: _ranked(g), f"{LOG} SELECT key, seq, row_number() OVER (ORDER BY key, seq DESC) AS position FROM log"),
+    "merge_sources": (lambda s, g, d: reads.merge(*_sources(g)), f"{LOG} SELECT * FROM log"),
+    "resurrected_keys": (lambda s, g, d: upkeep.resurrected(g), f"{LOG} SELECT key, seq FROM (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY seq) AS was FROM log) WHERE was = 1 AND kind = 0"),
+    "version_debt": (
+        lambda s, g, d: upkeep.version_debt(g),
+        f"{LOG} SELECT key, count(*) AS versions, count(*) - sum((rn = 1 AND kind = 0)::INT)::BIGINT AS dropped, sum(kind)::BIGINT AS tombstones FROM ranked GROUP BY key",
+    ),
+    "mem_running_size": (lambda s, g, d: upkeep.running_size(g), f"{LOG} SELECT seq, sum(size) OVER (ORDER BY seq)::BIGINT AS running_bytes FROM sized"),
+    "flush_plan": (lambda s, g, d: upkeep.flush_plan(g, FULL), None),
+    "flush_tables": (lambda s, g, d: upkeep.flush_tables(g, FULL), None),
+    "l0_trace": (lambda s, g, d: upkeep.l0_trace(upkeep.flush_tables(g, FULL)), None),
+    "block_layout": (lambda s, g, d: upkeep.block_layout(g, BLOCK), None),
+    "block_index_seek": (lambda s, g, d: upkeep.block_of(upkeep.block_layout(g, BLOCK), _probes(s).select("key")).withColumn("block", F.coalesce("block", F.lit(-1))), None),
+    "compact_full": (lambda s, g, d: upkeep.compacted(g), f"{LOG} SELECT key, seq, value, 0::INT AS kind FROM live"),
+    "compact_reclaimed": (
+        lambda s, g, d: upkeep.reclaimed(g),
+        f"{LOG} SELECT (SELECT sum(size)::BIGINT FROM sized) AS bytes_before, (SELECT sum(size)::BIGINT FROM sized JOIN live USING (key, seq)) AS bytes_after",
+    ),
+    "compact_then_overlay": (lambda s, g, d: _overlay(g), f"{LOG} SELECT * FROM live"),
+    "version_fold": (
+        lambda s, g, d: upkeep.fold_edits(_edits(g)),
+        f"{LOG}, {EDITS} SELECT 0::INT AS level, a.k AS file_num FROM edits a WHERE NOT EXISTS (SELECT 1 FROM edits b WHERE b.k % 3 = 2 AND b.k - 2 = a.k)",
+    ),
+    "version_counters": (
+        lambda s, g, d: upkeep.fold_counters(_edits(g)),
+        f"{LOG}, {EDITS} SELECT (SELECT max(k) + 1 FROM edits WHERE k % 5 <> 0)::BIGINT AS next_file_num, (SELECT max(seq) FROM edits)::BIGINT AS last_seq",
+    ),
+    "next_seq_recovery": (lambda s, g, d: upkeep.next_seq(*_sources(g)), f"{LOG} SELECT max(seq) + 1 AS next_seq FROM log"),
+    "wal_valid_prefix": (lambda s, g, d: _wal(g), f"{LOG} SELECT seq AS pos, key, kind FROM log WHERE seq < (SELECT max(seq) FROM log)"),
+    "orphan_segments": (
+        lambda s, g, d: upkeep.orphans(_edits(g).select(F.col("pos").alias("file_num")), upkeep.fold_edits(_edits(g))),
+        f"{LOG}, {EDITS} SELECT a.k AS file_num FROM edits a WHERE EXISTS (SELECT 1 FROM edits b WHERE b.k % 3 = 2 AND b.k - 2 = a.k)",
+    ),
+    "store_stats": (
+        lambda s, g, d: reads.stats(g),
+        f"{LOG} SELECT count(*) AS entries, sum(kind)::BIGINT AS tombstones, count(DISTINCT key) AS keys, sum(size)::BIGINT AS bytes, max(seq) AS max_seq, max(seq) + 1 AS next_seq FROM sized",
+    ),
+    "key_codec_roundtrip": (
+        lambda s, g, d: _codec(g),
+        f"{LOG}, x AS (SELECT *, lpad(printf('%X', seq * 256 + kind), 16, '0') AS t FROM log) SELECT hex(encode(key)) || substr(t, 15, 2) || substr(t, 13, 2) || substr(t, 11, 2) || substr(t, 9, 2) || substr(t, 7, 2) || substr(t, 5, 2) || substr(t, 3, 2) || substr(t, 1, 2) AS internal_key, key, seq, kind, greatest(1, ceil(length(bin(seq)) / 7.0))::INT AS seq_varint_bytes FROM x",
+    ),
+    "fnv1a_hash": (
+        lambda s, g, d: g.select("key").distinct().select("key", codec.fnv1a(F.col("key")).alias("hash")),
+        f"{LOG} SELECT key, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM (SELECT DISTINCT key FROM log)",
+    ),
+    "bloom_false_negatives": (lambda s, g, d: _false_negatives(g, s), f"{LOG} SELECT 0::BIGINT AS false_negatives, count(DISTINCT key) AS keys FROM log"),
+    "bloom_fp_rate": (lambda s, g, d: _false_positives(g, s), f"SELECT TRUE AS below_two_percent, {PROBES}::BIGINT AS probes"),
+    "fill_keys": (
+        lambda s, g, d: filled(s, 10_000),
+        "SELECT 'user:' || lpad(i::VARCHAR, 8, '0') AS key, i AS seq, 0::INT AS kind, md5(i::VARCHAR) AS value FROM range(10000) t(i)",
+    ),
+    "probe_key_max": (lambda s, g, d: _first_missing(s, g), f"{LOG} SELECT min(i) AS first_missing FROM range(100000) t(i) WHERE 'user:' || lpad(i::VARCHAR, 8, '0') NOT IN (SELECT key FROM live)"),
+    "count_live": (lambda s, g, d: reads.live(g).agg(F.count(F.lit(1)).alias("live_keys"), F.greatest(F.count(F.lit(1)) - 30, F.lit(0)).alias("beyond_limit")), f"{LOG} SELECT count(*) AS live_keys, greatest(count(*) - 30, 0) AS beyond_limit FROM live"),
+    "stream_latest": (lambda s, g, d: _stream(s, d), f"{LOG} SELECT * FROM live"),
+}
+
+
+def _greedy(order: str, full: int) -> str:
+    return f"""{LOG}, o AS (SELECT key, seq, size, row_number() OVER (ORDER BY {order}) AS i FROM sized),
+g AS (WITH RECURSIVE g(i, total, generation) AS (SELECT i, size, 0::BIGINT FROM o WHERE i = 1 UNION ALL
+  SELECT o.i, CASE WHEN g.total >= {full} THEN o.size ELSE g.total + o.size END, g.generation + (g.total >= {full})::BIGINT FROM g JOIN o ON o.i = g.i + 1) SELECT i, generation FROM g),
+p AS (SELECT key, seq, size, generation FROM o JOIN g USING (i))"""
+
+
+FLUSH = "SELECT generation, count(*) AS entries, sum(size)::BIGINT AS bytes, min(key) AS first_key, max(key) AS last_key, max(seq) AS max_seq FROM p GROUP BY generation"
+LAYOUT = "SELECT generation AS block, count(*) AS entries, sum(size)::BIGINT AS bytes, max(key) AS last_key FROM p GROUP BY generation"
+SEQUENTIAL = {
+    "flush_plan": f"{_greedy('seq', FULL)} SELECT * FROM p",
+    "flush_tables": f"{_greedy('seq', FULL)} {FLUSH}",
+    "l0_trace": f"{_greedy('seq', FULL)}, t AS (SELECT DISTINCT generation FROM p) SELECT generation, generation >= 3 AND generation % 3 = 0 AS compacts, CASE WHEN generation < 3 THEN generation + 1 ELSE generation % 3 + 1 END AS l0_tables FROM t",
+    "block_layout": f"{_greedy('key, seq DESC', BLOCK)} {LAYOUT}",
+    "block_index_seek": f"{_greedy('key, seq DESC', BLOCK)}, l AS ({LAYOUT}), {PROBE} SELECT p.key, coalesce(min(l.block), -1)::BIGINT AS block FROM probe p LEFT JOIN l ON l.last_key >= p.key GROUP BY p.key",
+}
+
+
+def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TABLE[name][0](spark, events_log(spark, sf_dir), sf_dir)
 
 
 def queries():
-    return {}
+    return {name: partial(_run, name) for name in TABLE}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in TABLE.items() if sql} | SEQUENTIAL
