@@ -15,8 +15,8 @@ from verstore.llm.common import read
 #: Bytes of a string that counts as repeated; of the leading part by which suffixes are sampled and sorted.
 LENGTH, LEAD = 50, 24
 #: Bytes of text in a block of documents, about; anchors in a bucket, about.
-BLOCK, BUCKET = 12 << 20, 1 << 20
-PIECE = 4 << 20
+BLOCK, BUCKET = 8 << 20, 1 << 20
+PIECE = 1 << 19
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -72,7 +72,8 @@ def anchors(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
             np.add.at(ok, last[fits] - a, -1)
             place = (low & np.uint64(0xFFFFFFFF))[np.cumsum(ok)[: len(low)] > 0].astype(np.int64)
             place = place[np.concatenate([[True], np.diff(place) != 0])] if len(place) else place
-            found.append((place + a, keys[place]))
+            # Least hashes are small: mixed anew, one to one, they are spread evenly.
+            found.append((place + a, scramble(keys[place] * B + A)))
     place = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     key = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
     once = np.concatenate([[True], np.diff(place) != 0]) if len(place) else np.zeros(0, bool)
