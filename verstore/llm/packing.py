@@ -16,57 +16,84 @@ from verstore.llm.common import chunks, cut, read, spans, words
 #: Ids in a sequence; the id that ends a document; cells by which equal lengths are ranked.
 SEQUENCE, END, CELLS = 4096, 2, 1024
 MARK = "\x01"
-PLAIN = re.compile("[a-z]+").fullmatch
+#: Words cached by a task, and words encoded in one string.
+CACHE, JOINED = 1_000_000, 2000
+# Lower-case letters that neither the tokenizer's normalisation changes nor its split divides, and these with ASCII marks.
+LETTERS = re.compile("[a-zß-öø-ÿā-ſ]+").fullmatch
+SIMPLE = re.compile("[!-@[-~ß-öø-ÿā-ſ]+").fullmatch
 
 
 class Encoder:
     """Ids of words as the tokenizer gives them in running text.
 
     The tokenizer's own split drops white space and no token crosses it, so a
-    text's ids are those of its words in a row.  Distinct words are encoded
-    once a chunk, many in one string with a mark between that is a token of its own.
+    text's ids are those of its words in a row.  A distinct word is encoded
+    once, many in one string with a mark between that is a token of its own; words of
+    plain lower-case letters go without the normalisation and the split, which leave them as they are.
     """
 
     def __init__(self, path: str | None = None):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = path or public_tokenizers.path("word_bpe_49k.json")
-        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # For words of a-z alone: lower case already, one piece each.
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        (self.mark,) = self.whole.encode(MARK, add_special_tokens=False).ids
-
-    def _many(self, tokenizer, strings: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        joined = [f" {MARK} ".join(strings[i : i + 2000]) for i in range(0, len(strings), 2000)]
-        for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark)
-            out += [ids[a:b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
-        return out
-
-    def encode_words(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and each word's start with the end at last."""
-        lower = [s.lower() if s.isascii() else s for s in strings]
-        kinds = [0 if PLAIN(s) else 1 if MARK not in s and "<|" not in s else 2 for s in lower]
-        parts = [self._many(self.plain, [s for s, k in zip(lower, kinds) if k == 0]), self._many(self.whole, [s for s, k in zip(strings, kinds) if k == 1])]
-        parts.append([np.array(self.whole.encode(s, add_special_tokens=False).ids, np.uint32) for s, k in zip(strings, kinds) if k == 2])
-        turns = list(map(iter, parts))
-        each = [next(turns[k]) for k in kinds]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-        return np.concatenate(each) if each else np.zeros(0, np.uint32), at
+        whole, simple, plain = (Tokenizer.from_file(path) for _ in range(3))
+        simple.normalizer = plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.kinds = [plain, simple, whole]
+        (self.mark,) = whole.encode(MARK, add_special_tokens=False).ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _many(self, tokenizer, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings in a row, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(strings), JOINED):
+            own = np.array(tokenizer.encode(f" {MARK} ".join(strings[i : i + JOINED]), add_special_tokens=False).ids, np.uint32)
+            here = own == self.mark
+            at = np.concatenate([[-1], np.flatnonzero(here), [len(own)]])
+            ids.append(own[~here])
+            sizes.append(np.diff(at) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, strings: list[str]) -> None:
+        """Adds words that are not in the cache."""
+        groups: list[list[str]] = [[], [], [], []]
+        spelt: list[list[str]] = [[], [], [], []]
+        for s in strings:
+            low = s.lower()
+            k = 0 if LETTERS(low) else 3 if MARK in s or "<|" in s else 1 if SIMPLE(low) else 2
+            groups[k].append(s)
+            spelt[k].append(low if k < 2 else s)
+        parts = [self._many(t, words) for t, words in zip(self.kinds, spelt)]
+        alone = [np.array(self.kinds[2].encode(s, add_special_tokens=False).ids, np.uint32) for s in groups[3]]
+        parts.append((np.concatenate(alone) if alone else self.ids[:0], np.array([len(x) for x in alone], np.int64)))
+        for s in (s for g in groups for s in g):
+            self.number[s] = len(self.number)
+        self.ids = np.concatenate([self.ids, *[p[0] for p in parts]])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, without an end id, and each text's start with the end at last."""
         at, flat = words(texts)
         coded = flat.dictionary_encode()
-        ids, start = self.encode_words(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.diff(start)[index]
+        strings = coded.dictionary.to_pylist()
+        if len(self.number) + len(strings) > CACHE:
+            self.clear()
+        new = [s for s in strings if s not in self.number]
+        if new:
+            self._learn(new)
+        number = np.array([self.number[s] for s in strings], np.int64)
+        index = number[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+        size = np.diff(self.start)[index]
         run = np.concatenate([[0], np.cumsum(size)])
-        return ids[np.repeat(start[index], size) + spans(size)] if len(index) else ids[:0], run[at]
+        return self.ids[np.repeat(self.start[index], size) + spans(size)] if len(index) else self.ids[:0], run[at]
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
