@@ -7,11 +7,10 @@ from bisect import insort
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, cut, read, spans, words
+from verstore.llm.common import chunks, cut, read, words
 
 #: Ids in a sequence; the id that ends a document; cells by which equal lengths are ranked.
 SEQUENCE, END, CELLS = 4096, 2, 1024
@@ -55,7 +54,7 @@ class Encoder:
         """Ids of the strings in a row, and how many each has."""
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(strings), JOINED):
-            own = np.array(tokenizer.encode(f" {MARK} ".join(strings[i : i + JOINED]), add_special_tokens=False).ids, np.uint32)
+            own = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(strings[i : i + JOINED])], add_special_tokens=False)[0].ids, np.uint32)
             here = own == self.mark
             at = np.concatenate([[-1], np.flatnonzero(here), [len(own)]])
             ids.append(own[~here])
@@ -79,8 +78,11 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *[p[0] for p in parts]])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, without an end id, and each text's start with the end at last."""
+    def encode(self, texts: pa.Array, slice_words: int = 1 << 19):
+        """(first text, ids in a row, each text's start with the end at last) for runs of texts of about `slice_words` words.
+
+        The ids are without an end id.  Words are looked up once for all texts, ids are laid out run by run.
+        """
         at, flat = words(texts)
         coded = flat.dictionary_encode()
         strings = coded.dictionary.to_pylist()
@@ -89,11 +91,15 @@ class Encoder:
         new = [s for s in strings if s not in self.number]
         if new:
             self._learn(new)
-        number = np.array([self.number[s] for s in strings], np.int64)
-        index = number[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-        size = np.diff(self.start)[index]
-        run = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.repeat(self.start[index], size) + spans(size)] if len(index) else self.ids[:0], run[at]
+        index = np.fromiter(map(self.number.__getitem__, strings), np.int32, len(strings))[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
+        sizes = np.diff(self.start)
+        edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(at[:-1] // slice_words)) + 1, [len(texts)]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own = index[at[a] : at[b]]
+            size = sizes[own]
+            run = np.concatenate([[0], np.cumsum(size)])
+            ids = self.ids[np.repeat(self.start[own] - run[:-1], size) + np.arange(run[-1])]
+            yield a, ids, run[at[a : b + 1] - at[a]]
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
@@ -101,15 +107,15 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
 
     def run(batches):
         encoder = Encoder(path)
-        for part in chunks(batches, limit=4 << 20):
-            ids, at = encoder.encode(part.column("text"))
+        for part in chunks(batches, limit=32 << 20):
             rows: list[list] = [[], [], [], [], []]
-            for k in range(part.num_rows):
-                own = np.append(ids[at[k] : at[k + 1]], np.uint32(end)).astype("<u4")
-                for i in range(0, len(own), sequence):
-                    piece = own[i : i + sequence]
-                    for column, value in zip(rows, (k, i, len(piece), zlib.crc32(piece.tobytes()), len(own))):
-                        column.append(value)
+            for first, ids, at in encoder.encode(part.column("text")):
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), first):
+                    own = np.append(ids[a:b], np.uint32(end)).astype("<u4", copy=False)
+                    for i in range(0, len(own), sequence):
+                        piece = own[i : i + sequence]
+                        for column, value in zip(rows, (k, i, len(piece), zlib.crc32(piece), len(own))):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[0], pa.int64())), *[pa.array(x, pa.int64()) for x in rows[1:]]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select("doc_id", "text")
