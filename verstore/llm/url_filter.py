@@ -10,7 +10,7 @@ from verstore.llm.common import cut, read
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Damping, rounds of propagation, and how many times its trust a host's distrust must reach to be blocked.
 DAMPING, ROUNDS, LIMIT = 0.85, 12, 1.0
-LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'<>\s]+)"""
+LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\s]+)"""
 
 
 def lower_ascii(col: Column) -> Column:
