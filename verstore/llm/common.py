@@ -1,6 +1,8 @@
 """Shared helpers: tables, the shared folder, bounded chunks and word arrays."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -34,6 +36,46 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the system: reused Python workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+def bound_batches(df: DataFrame, rows: int = 2500) -> None:
+    """Arrow batches of `rows` rows where the session has Spark's default of 10,000: long texts fill a worker's memory."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(rows))
+
+
+def tidy(function):
+    """A function of Arrow batches that trims its worker's memory at the end of a task."""
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return run
+
+
+def gathered(batches, limit: int, column: str = "text"):
+    """The batches joined to ones of about `limit` bytes of `column`: work by distinct word repeats less."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.fill_null(pc.binary_length(batch.column(column)), 0)).as_py() or 0
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def chunks(batches, column: str = "text", limit: int = CHUNK):
     """The batches' rows in slices of about `limit` bytes of `column`, at least one row each."""
     for batch in batches:
@@ -59,9 +101,3 @@ def spans(lengths: np.ndarray) -> np.ndarray:
     start = np.cumsum(lengths) - lengths
     return np.arange(int(lengths.sum())) - np.repeat(start, lengths)
 
-
-def bound_batches(spark: SparkSession, limit: str = "16m") -> None:
-    """Arrow batches to Python workers of about `limit` at most, unless the session says so itself."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, str(2**63 - 1), f"{2**63 - 1}b", str(2**31 - 1)):
-        spark.conf.set(name, limit)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import bound_batches, cut, read
+from verstore.llm.common import cut, read, tidy
 from verstore.llm.components import connected_components
 
 COSINE = 0.95
@@ -246,8 +246,6 @@ def links_of(graph: Graph, own: dict, block: dict, cosine: float, beam: int) ->
 
 def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
     """(a, b, n): n links of vector a found in a shard (b null), and edges a - b that join linked vectors (n null)."""
-    spark = vectors.sparkSession
-    bound_batches(spark)
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("vec_id").isNotNull() & F.exists(x, lambda v: v != 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
     rows = cut(vectors.where(good).select(F.col("vec_id").cast("long").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v")))
@@ -294,7 +292,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | No
                 b = np.concatenate([np.zeros(len(has)), [e[1] for e in edges]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=blank), pa.array(np.concatenate([n[has], np.zeros(len(edges))]).astype(np.int64), mask=~blank)], names=["a", "b", "n"])
 
-    return meeting.mapInArrow(ask, "a long, b long, n long")
+    return meeting.mapInArrow(tidy(ask), "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, held_out, read, words
+from verstore.llm.common import bound_batches, chunks, held_out, read, tidy, words
 
 #: Labelled documents that a language's model is fitted on, at most.
 SAMPLE = 300
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter get 'und' and 0, as does everything
     if there was no language to learn.  Rows are judged one by one.
     """
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -204,7 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = docs.drop("lang_pred", "score").schema
-    return docs.drop("lang_pred", "score").mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.drop("lang_pred", "score").mapInArrow(tidy(run), schema.add("lang_pred", "string").add("score", "double"))
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:

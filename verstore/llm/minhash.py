@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, cut, read, words
+from verstore.llm.common import bound_batches, chunks, cut, read, tidy, words
 from verstore.llm.components import connected_components
 
 #: Bands and registers of a band; mantissa bits of a register.
@@ -81,6 +81,7 @@ def chance(n: float, m: float) -> float:
 def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n, set_hash, keys: sizes, 128-bit set fingerprints and band keys (none for an empty set)."""
 
+    bound_batches(docs)
     def run(batches):
         for part in chunks(batches):
             sets = shingle_sets(part.column("text"), n)
@@ -90,7 +91,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), prints, lists], names=["doc_id", "n", "set_hash", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_hash binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_hash binary, keys array<long>")
 
 
 def link_block(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -158,7 +159,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
         found = link_block(table.column("member").to_numpy(), sets, table.column("component").to_numpy(), percent)
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return joined.sortWithinPartitions("gid", "block").mapInArrow(run, "a long, b long")
+    return joined.sortWithinPartitions("gid", "block").mapInArrow(tidy(run), "a long, b long")
 
 
 def parts(count, shingles):

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, cut, read, words
+from verstore.llm.common import bound_batches, chunks, cut, gathered, read, tidy, words
 
 #: Ids in a sequence; the id that ends a document; cells by which equal lengths are ranked.
 SEQUENCE, END, CELLS = 4096, 2, 1024
+#: Bytes of text that a worker encodes at a time: more share more words, fewer take less memory.
+GATHER = 32 << 20
 MARK = "\x01"
 #: Words cached by a task, and words encoded in one string.
 CACHE, JOINED = 1_000_000, 2000
@@ -78,7 +80,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *[p[0] for p in parts]])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
 
-    def encode(self, texts: pa.Array, slice_words: int = 1 << 19):
+    def encode(self, texts: pa.Array, slice_words: int = 1 << 18):
         """(first text, ids in a row, each text's start with the end at last) for runs of texts of about `slice_words` words.
 
         The ids are without an end id.  Words are looked up once for all texts, ids are laid out run by run.
@@ -102,12 +104,13 @@ class Encoder:
             yield a, ids, run[at[a : b + 1] - at[a]]
 
 
-def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut every `sequence` ids."""
 
+    bound_batches(docs)
     def run(batches):
         encoder = Encoder(path)
-        for part in chunks(batches, limit=32 << 20):
+        for part in chunks(gathered(batches, gather), limit=gather):
             rows: list[list] = [[], [], [], [], []]
             for first, ids, at in encoder.encode(part.column("text")):
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), first):
@@ -119,7 +122,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows[0], pa.int64())), *[pa.array(x, pa.int64()) for x in rows[1:]]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
@@ -180,7 +183,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     return keyed.join(sizes, ["length", "cell"]).withColumn("rank", F.col("before") + inside - 1).drop("cell", "before")
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone.  Documents longer than a sequence
@@ -190,7 +193,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     the histogram of lengths (at most `sequence` rows) and its patterns.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, path, sequence, end))
+    rows = cut(pieces(docs, path, sequence, end, gather))
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
     places = slots(patterns(histogram, sequence))
     table = spark.createDataFrame(places, "length long, first long, n long, at long, offset long")

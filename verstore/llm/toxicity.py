@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import bound_batches, chunks, held_out, read, words
+from verstore.llm.common import bound_batches, chunks, held_out, read, tidy, words
 from verstore.llm.langid import code_points
 from verstore.llm.minhash import shingle_sets
 
@@ -210,7 +210,7 @@ def unlike(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in least.T]], names=["doc_id", *[f"h{k}" for k in range(8)]])
 
     names = [f"h{k} long" for k in range(8)]
-    found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(names)).collect()
+    found = rows.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(names)).collect()
     seen, gone = set(), []
     for r in sorted(found, key=lambda r: r[0]):
         own = {(k, v) for k, v in enumerate(r[1:])}
@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for kind, terms, bad, good in out:
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), terms.cast(pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["kind", "term", "bad", "good"])
 
-    counts = own.mapInArrow(count, "kind int, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 1").persist()
+    counts = own.mapInArrow(tidy(count), "kind int, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 1").persist()
     machine = Automaton(*lexicon(counts, share))
     counts.unpersist()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(shared.value, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), *[pa.array(c) for c in x.T]], names=["y", *[f"f{k}" for k in range(FEATURES)]])
 
-    got = own.mapInArrow(measure, "y double, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas().to_numpy()
+    got = own.mapInArrow(tidy(measure), "y double, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas().to_numpy()
     own.unpersist()
     rows.unpersist()
     if not len(got):
@@ -284,6 +284,7 @@ def toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     Whole texts are matched, in chunks of bounded size.  Null and empty texts have no hits and get the
     score of a text without any; rows are scored one by one and other columns are not read.
     """
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -292,11 +293,10 @@ def toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound_batches(spark)
     docs = read(spark, sf_dir, "documents")
     found = toxicity(docs, train(docs, read(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
