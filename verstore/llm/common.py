@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 
 import numpy as np
@@ -38,7 +37,6 @@ def held_out(doc_id):
 
 def trim() -> None:
     """Gives memory that a finished task has freed back to the system: reused Python workers stay small."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

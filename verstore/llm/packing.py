@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import bound_batches, chunks, cut, gathered, read, tidy, words
+from verstore.llm.common import chunks, cut, gathered, read, tidy, words
 
 #: Ids in a sequence; the id that ends a document; cells by which equal lengths are ranked.
 SEQUENCE, END, CELLS = 4096, 2, 1024
@@ -80,7 +80,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *[p[0] for p in parts]])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
 
-    def encode(self, texts: pa.Array, slice_words: int = 1 << 18):
+    def encode(self, texts: pa.Array, slice_words: int = 1 << 19):
         """(first text, ids in a row, each text's start with the end at last) for runs of texts of about `slice_words` words.
 
         The ids are without an end id.  Words are looked up once for all texts, ids are laid out run by run.
@@ -107,10 +107,9 @@ class Encoder:
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut every `sequence` ids."""
 
-    bound_batches(docs)
     def run(batches):
         encoder = Encoder(path)
-        for part in chunks(gathered(batches, gather), limit=gather):
+        for part in chunks(gathered(batches, gather), limit=2 * gather):
             rows: list[list] = [[], [], [], [], []]
             for first, ids, at in encoder.encode(part.column("text")):
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), first):
