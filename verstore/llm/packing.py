@@ -1,6 +1,7 @@
 """Shortest-pack-first packing over the histogram of lengths."""
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from bisect import insort
@@ -108,6 +109,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut every `sequence` ids."""
 
     def run(batches):
+        gc.disable()  # hundreds of thousands of words and no cycles: collections only cost time
         encoder = Encoder(path)
         for part in chunks(gathered(batches, gather), limit=2 * gather):
             rows: list[list] = [[], [], [], [], []]
