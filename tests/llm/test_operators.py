@@ -309,6 +309,28 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(table.where("false")).count() == 0
 
 
+def test_groups_of_copies_and_of_near_vectors(spark, monkeypatch):
+    """Thirds of all rows are one vector, and one dense group: counts are exact, in pieces far smaller than the pairs."""
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 500)
+    g = np.random.default_rng(5)
+    base = g.normal(size=(150, 12))
+    v = np.vstack([base, np.repeat(base[:1], 200, 0), base[1:2] + 0.02 * g.normal(size=(200, 12))])[g.permutation(550)]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T) >= 0.95
+    want = components([(a, b) for a, b in zip(*np.nonzero(near)) if a < b], range(len(v)))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(table, shards=2).collect()}
+    assert [got[i].n_links for i in range(len(v))] == (near.sum(1) - 1).tolist()
+    assert {i: got[i].component_id for i in range(len(v))} == want
+
+
+def test_joined_passes_over_what_is_joined():
+    joined = embedding_dedup.Joined(6)
+    a, b = np.array([0, 1, 2, 4]), np.array([1, 2, 0, 5])
+    assert len(joined.add(a, b)) == 3 and len(joined.add(b, a)) == 0
+    assert len(set(joined.label.tolist())) == 3
+
+
 def test_graph_recall():
     g = np.random.default_rng(1)
     x = g.normal(size=(3000, 32))

@@ -18,6 +18,8 @@ SHARDS, SHARD, QUERIES, SPLIT = 6, 200_000, 4096, 1_000_000
 LINKS, BUILD, BEAM, AUDIT, RECALL = 16, 32, 16, 64, 0.99
 WIDTH = 4
 SLACK = 1e-4
+#: Pairs of a query and a node that a worker holds at a time, about.
+PAIRS = 1 << 20
 
 
 class Graph:
@@ -111,7 +113,7 @@ class Graph:
     def search_layer(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and similarities of the best `beam` nodes found, best first; -1 where there are fewer."""
         out_ids, out_sims = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -2.0, np.float32)
-        step = max(8, min(512, (64 << 20) // max(1, len(self.x))))
+        step = max(8, min(512, (64 << 20) // max(1, len(self.x)), 4 * PAIRS // beam))
         for a in range(0, len(q), step):
             out_ids[a : a + step], out_sims[a : a + step] = self._beam(q[a : a + step], entry[a : a + step], beam, layer)
         return out_ids, out_sims
@@ -158,20 +160,30 @@ class Graph:
             at, _ = self.search_layer(q, at, 1, layer)
         return self.search_layer(q, at, beam, 0)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of similarities of `least` or more; a query whose beam holds nothing below gets one twice as wide."""
-        rows, found = [], []
+    def within(self, q: np.ndarray, least: float, beam: int):
+        """(queries, nodes) of similarities of `least` or more, in pieces of about PAIRS.
+
+        A query whose beam holds nothing below `least` gets one twice as wide; where the beam
+        would hold a quarter of all nodes, products with all of them are cheaper and exact.
+        """
         todo = np.arange(len(q))
         while len(todo):
-            beam = min(beam, len(self.x))
-            ids, sims = self.search(q[todo], beam)
-            hit = (ids >= 0) & (sims >= least)
-            full = hit.all(axis=1) & (beam < len(self.x))
-            r, c = np.nonzero(hit & ~full[:, None])
-            rows.append(todo[r])
-            found.append(ids[r, c])
-            todo, beam = todo[full], beam * 2
-        return np.concatenate(rows), np.concatenate(found)
+            if 4 * beam >= len(self.x):
+                step = max(1, PAIRS // len(self.x))
+                for i in range(0, len(todo), step):
+                    r, c = np.nonzero(q[todo[i : i + step]] @ self.x.T >= least)
+                    yield todo[i : i + step][r], c
+                return
+            wider, step = [], max(1, PAIRS // beam)
+            for i in range(0, len(todo), step):
+                part = todo[i : i + step]
+                ids, sims = self.search(q[part], beam)
+                hit = (ids >= 0) & (sims >= least)
+                full = hit.all(axis=1)
+                r, c = np.nonzero(hit & ~full[:, None])
+                yield part[r], ids[r, c]
+                wider.append(part[full])
+            todo, beam = np.concatenate(wider), beam * 2
 
 
 def save(**arrays) -> bytes:
@@ -203,52 +215,80 @@ def level_of(ids: np.ndarray) -> np.ndarray:
     return np.minimum((-np.log(u) / np.log(LINKS)).astype(int), 6)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the pairs join, at most one for each node."""
-    up: dict[int, int] = {}
+class Joined:
+    """Labels of numbers joined so far: pairs that add nothing are passed over all at once."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (a, b) join what was apart."""
+        apart = np.flatnonzero(self.label[a] != self.label[b])
+        if not len(apart):
+            return apart
+        x, y = self.label[a[apart]], self.label[b[apart]]
+        _, first = np.unique(np.minimum(x, y) * len(self.label) + np.maximum(x, y), return_index=True)
+        up: dict[int, int] = {}
 
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        def root(k):
+            while up.setdefault(k, k) != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+        picked = []
+        for i, p, q in zip(first.tolist(), x[first].tolist(), y[first].tolist()):
+            p, q = root(p), root(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                picked.append(i)
+        to = np.arange(len(self.label))
+        to[list(up)] = [root(k) for k in list(up)]
+        self.label = to[self.label]
+        return apart[picked]
 
 
-def links_of(graph: Graph, own: dict, block: dict, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows of (query, node) linked in double precision, and the beam at which the audit passed."""
+def links_of(graph: Graph, own: dict, block: dict, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """By query the vectors linked in double precision, rows of (query, node) that join what these links join, and the beam at which the audit passed.
+
+    A node counts as many vectors as it has copies (w).  Links are counted piece by piece and never held together.
+    """
     q = block["x"].astype(np.float32)
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     truth = (q[audit] @ graph.x.T) >= cosine - SLACK
     while True:
-        row, node = graph.within(q, cosine - SLACK, beam)
-        got = np.zeros(truth.shape, bool)
-        at = np.searchsorted(audit, row).clip(0, len(audit) - 1)
-        mine = audit[at] == row
-        got[at[mine], node[mine]] = True
+        got, n, joined, edges = np.zeros(truth.shape, bool), np.zeros(len(q), np.int64), Joined(len(graph.x) + len(q)), []
+        for rows, nodes in graph.within(q, cosine - SLACK, beam):
+            at = np.searchsorted(audit, rows).clip(0, len(audit) - 1)
+            mine = audit[at] == rows
+            got[at[mine], nodes[mine]] = True
+            for i in range(0, len(rows), 1 << 17):
+                r, c = rows[i : i + (1 << 17)], nodes[i : i + (1 << 17)]
+                sure = np.einsum("bd,bd->b", block["x"][r], own["x"][c]) >= cosine
+                sure &= (block["id"][r] != own["id"][c]) & (block["size"][r] == own["size"][c])
+                r, c = r[sure], c[sure]
+                np.add.at(n, r, own["w"][c])
+                new = joined.add(len(graph.x) + r, c)
+                edges.append(np.stack([r[new], c[new]]))
         if (got & truth).sum() >= RECALL * truth.sum() or beam >= len(graph.x):
             break
         beam *= 2
-    sure = np.zeros(len(row), bool)
-    for i in range(0, len(row), 1 << 17):
-        r, n = row[i : i + (1 << 17)], node[i : i + (1 << 17)]
-        sure[i : i + len(r)] = np.einsum("bd,bd->b", block["x"][r], own["x"][n]) >= cosine
-    sure &= (block["id"][row] != own["id"][node]) & (block["size"][row] == own["size"][node])
-    return row[sure], node[sure], beam
+    row, node = np.concatenate([np.zeros((2, 0), np.int64), *edges], axis=1)
+    return n, row, node, beam
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
-    """(a, b, n): n links of vector a found in a shard (b null), and edges a - b that join linked vectors (n null)."""
+def good_vectors(vectors: DataFrame) -> DataFrame:
+    """id, v, h for the vectors that can have links: one row per id, as doubles, with a hash."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("vec_id").isNotNull() & F.exists(x, lambda v: v != 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
-    rows = cut(vectors.where(good).select(F.col("vec_id").cast("long").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v")))
+    return cut(vectors.where(good).select(F.col("vec_id").cast("long").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v")))
+
+
+def embedding_links(rows: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
+    """(a, b, n): n links of vector a found in a shard (b null), and edges a - b that join linked vectors (n null).
+
+    rows: id, v, w: distinct vectors and how many copies each stands for.
+    """
     count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).collect()[0]
     shards = shards or max(SHARDS, -(-count // SHARD))
     blocks, split = max(1, -(-count // QUERIES)), max(1, -(-count // SPLIT))
@@ -258,7 +298,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | No
         v, size = matrix(order.column("v").chunk(0), width)
         ids, v = order.column("id").to_numpy(), unit(v)
         graph = Graph(v, level_of(ids)).build()
-        blob = save(id=ids, x=v, size=size, levels=graph.levels, entry=np.array(graph.entry), **{f"near{k}": n for k, n in enumerate(graph.near)})
+        blob = save(id=ids, x=v, size=size, w=order.column("w").to_numpy(), levels=graph.levels, entry=np.array(graph.entry), **{f"near{k}": n for k, n in enumerate(graph.near)})
         return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
     def block(table: pa.Table) -> pa.Table:
@@ -283,14 +323,12 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | No
                     graph = Graph(got["x"], got["levels"])
                     graph.entry, graph.near = int(got["entry"]), [got[f"near{k}"] for k in range(graph.top + 1)]
                     continue
-                row, node, beam = links_of(graph, own, got, cosine, beam)
-                n = np.bincount(row, minlength=len(got["id"]))
+                n, row, node, beam = links_of(graph, own, got, cosine, beam)
                 has = np.flatnonzero(n)
-                edges = forest(got["id"][row], own["id"][node])
-                a = np.concatenate([got["id"][has], [e[0] for e in edges]]).astype(np.int64)
+                a = np.concatenate([got["id"][has], got["id"][row]]).astype(np.int64)
                 blank = np.arange(len(a)) < len(has)
-                b = np.concatenate([np.zeros(len(has)), [e[1] for e in edges]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=blank), pa.array(np.concatenate([n[has], np.zeros(len(edges))]).astype(np.int64), mask=~blank)], names=["a", "b", "n"])
+                b = np.concatenate([np.zeros(len(has), np.int64), own["id"][node]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=blank), pa.array(np.concatenate([n[has], np.zeros(len(row), np.int64)]), mask=~blank)], names=["a", "b", "n"])
 
     return meeting.mapInArrow(tidy(ask), "a long, b long, n long")
 
@@ -298,7 +336,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, shards: int | No
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors.
 
-    Every shard's graph is asked for every vector; beams widen while they hold
+    Copies of a vector are one vector in the search, so a group of them costs
+    no more than one; each has the others as links besides.  Every shard's graph is asked for every vector; beams widen while they hold
     links only, and for all queries until an audit against brute force finds
     99 % of a block's links.  Links are confirmed in double precision.  Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, nor do
@@ -306,11 +345,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shards: int | None
     vector (the least of their embeddings); a null vec_id has no links, component null
     and kept null.  Other columns are not read.
     """
-    found = cut(embedding_links(vectors, cosine, shards))
-    counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    rows = good_vectors(vectors)
+    classes = cut(rows.groupBy("h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")))
+    found = cut(embedding_links(classes.drop("h"), cosine, shards))
+    counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("n is null").select("a", "b"))
+    classed = classes.select("id", "w").join(counts, "id", "left").join(joined, "id", "left")
+    classed = cut(classed.select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")).where("n_links > 0"))
+    copies = rows.join(classes.where("w > 1").withColumnRenamed("id", "of"), ["h", "v"]).where("id <> of").select("id", "of")
+    every = classed.unionByName(copies.join(classed.withColumnRenamed("id", "of"), "of").select("id", "n_links", "component"))
     key = F.col("vec_id").cast("long")
-    out = vectors.select("vec_id").join(counts, key == counts.id, "left").drop("id").join(joined, key == joined.id, "left")
+    out = vectors.select("vec_id").join(every, key == every.id, "left")
     component = F.coalesce("component", key)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (key == component).alias("kept"))
 
