@@ -354,6 +354,24 @@ def test_patterns_hold_every_piece_once():
     assert placed == Counter(histogram)
 
 
+def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    """Random texts of letters, marks, digits, special strings and odd characters; the cache is cleared on the way."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 3000)
+    r = random.Random(4)
+    alphabet = [*"abzABZéÉß'`!?.,#*&<|>_-019 \n\x01\u0301\u212aİ日ñÑſŉ\u00a0$[]", "  ", "<|endoftext|>", "n't", "word!!", "Word..."]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False)
+    encoder = packing.Encoder()
+    for i in range(0, len(texts), 500):
+        for first, ids, at in encoder.encode(pa.array(texts[i : i + 500]), 100):
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:]), i + first):
+                assert ids[a:b].tolist() == want[k].ids
+
+
 def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 

@@ -19,10 +19,12 @@ SEQUENCE, END, CELLS = 4096, 2, 1024
 GATHER = 32 << 20
 MARK = "\x01"
 #: Words cached by a task, and words encoded in one string.
-CACHE, JOINED = 1_000_000, 2000
+CACHE, JOINED = 800_000, 200
 # Lower-case letters that neither the tokenizer's normalisation changes nor its split divides, and these with ASCII marks.
 LETTERS = re.compile("[a-zß-öø-ÿā-ſ]+").fullmatch
 SIMPLE = re.compile("[!-@[-~ß-öø-ÿā-ſ]+").fullmatch
+# Such letters and then marks, apostrophes aside: the split divides them, so each part is encoded alone.
+PARTS = re.compile(r"([a-zß-öø-ÿā-ſ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 class Encoder:
@@ -32,6 +34,7 @@ class Encoder:
     text's ids are those of its words in a row.  A distinct word is encoded
     once, many in one string with a mark between that is a token of its own; words of
     plain lower-case letters go without the normalisation and the split, which leave them as they are.
+    Words that differ in case only, or in the marks after their letters, share the letters' encoding.
     """
 
     def __init__(self, path: str | None = None):
@@ -66,20 +69,42 @@ class Encoder:
 
     def _learn(self, strings: list[str]) -> None:
         """Adds words that are not in the cache."""
-        groups: list[list[str]] = [[], [], [], []]
-        spelt: list[list[str]] = [[], [], [], []]
+        units: list[dict[str, None]] = [{}, {}, {}, {}]  # what is encoded, by kind of tokenizer; the last ones alone
+        single, double = [], []
         for s in strings:
             low = s.lower()
-            k = 0 if LETTERS(low) else 3 if MARK in s or "<|" in s else 1 if SIMPLE(low) else 2
-            groups[k].append(s)
-            spelt[k].append(low if k < 2 else s)
-        parts = [self._many(t, words) for t, words in zip(self.kinds, spelt)]
-        alone = [np.array(self.kinds[2].encode(s, add_special_tokens=False).ids, np.uint32) for s in groups[3]]
-        parts.append((np.concatenate(alone) if alone else self.ids[:0], np.array([len(x) for x in alone], np.int64)))
-        for s in (s for g in groups for s in g):
-            self.number[s] = len(self.number)
-        self.ids = np.concatenate([self.ids, *[p[0] for p in parts]])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
+            if LETTERS(low):
+                k, own = 0, low
+            elif MARK in s or "<|" in s:
+                k, own = 3, s
+            elif both := PARTS(low):
+                head, tail = both.groups()
+                units[0][head] = units[1][tail] = None
+                double.append((s, head, tail))
+                continue
+            else:
+                k, own = (1, low) if SIMPLE(low) else (2, s)
+            units[k][own] = None
+            single.append((s, own))
+        coded = [self._many(t, list(own)) for t, own in zip(self.kinds, units)]
+        alone = [np.array(self.kinds[2].encode(s, add_special_tokens=False).ids, np.uint32) for s in units[3]]
+        coded.append((np.concatenate(alone) if alone else self.ids[:0], np.array([len(x) for x in alone], np.int64)))
+        ids = np.concatenate([c[0] for c in coded])
+        start = np.concatenate([[0], np.cumsum(np.concatenate([c[1] for c in coded]))])
+        place = {u: i for i, u in enumerate(u for own in units for u in own)}
+        first = len(self.start) - 1
+        for s, own in single:
+            self.number[s] = first + place[own]
+        first += len(place)
+        for i, (s, _, _) in enumerate(double):
+            self.number[s] = first + i
+        pairs = np.array([place[x] for _, *own in double for x in own], np.int64)
+        size = np.diff(start)[pairs]
+        run = np.concatenate([[0], np.cumsum(size)])
+        joined = ids[np.repeat(start[pairs] - run[:-1], size) + np.arange(run[-1])]
+        at = self.start[-1]
+        self.ids = np.concatenate([self.ids, ids, joined])
+        self.start = np.concatenate([self.start, at + start[1:], at + start[-1] + run[2::2]])
 
     def encode(self, texts: pa.Array, slice_words: int = 1 << 19):
         """(first text, ids in a row, each text's start with the end at last) for runs of texts of about `slice_words` words.
@@ -89,9 +114,10 @@ class Encoder:
         at, flat = words(texts)
         coded = flat.dictionary_encode()
         strings = coded.dictionary.to_pylist()
-        if len(self.number) + len(strings) > CACHE:
-            self.clear()
         new = [s for s in strings if s not in self.number]
+        if self.number and len(self.number) + len(new) > CACHE:
+            self.clear()
+            new = strings
         if new:
             self._learn(new)
         index = np.fromiter(map(self.number.__getitem__, strings), np.int32, len(strings))[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
