@@ -364,4 +364,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-SQL = None
+#: All pairs, for small tables.
+SQL = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, min(v) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+       WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0 GROUP BY vec_id),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.vec_id <> b.vec_id
+       AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= {COSINE}::DOUBLE ELSE FALSE END),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (WITH RECURSIVE r(id, seen) AS (SELECT vec_id, vec_id FROM x UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.id WHERE r.seen < e.b) SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(r.component_id, vec_id) AS component_id, vec_id = coalesce(r.component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN r ON r.id = vec_id
+"""

@@ -85,7 +85,36 @@ def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"))
-
-
-SQL = None
+    return judge_urls(read(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def _round(step: int) -> str:
+    return f"""
+s{step} AS (SELECT kind, host, sum(score) AS score FROM (SELECT e.kind, e.dst AS host, {DAMPING}::DOUBLE * s.score * e.share AS score FROM s{step - 1} s JOIN edges e ON e.kind = s.kind AND e.src = s.host
+  UNION ALL SELECT kind, host, (1 - {DAMPING}::DOUBLE) * seed FROM seeds) GROUP BY kind, host)"""
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+_LINK = LINK.replace("'", "''")
+SQL = f"""
+WITH r(v, h, p) AS (VALUES {_RULES}),
+u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+t AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
+w AS (SELECT *, regexp_extract(rest, '^[^/]*') AS named FROM t),
+d AS (SELECT page_id, html, {_LOWER("named")} AS host, substr(rest, length(named) + 1) AS path FROM w),
+places AS (SELECT DISTINCT host, path FROM d),
+fit AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+        FROM places JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+j AS (SELECT d.*, rule, verdict FROM d LEFT JOIN fit USING (host, path)),
+n AS (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM j WHERE host <> '' AND verdict IS NOT NULL GROUP BY ALL),
+seeds AS (SELECT kind, host, n::DOUBLE / (sum(n) OVER (PARTITION BY kind))::DOUBLE AS seed FROM n),
+x AS (SELECT host AS src, {_LOWER("unnest(regexp_extract_all(html, '" + _LINK + "', 1))")} AS dst FROM j WHERE host <> ''),
+links AS (SELECT src, dst, count(*) AS n FROM x WHERE dst <> '' AND src <> dst GROUP BY src, dst),
+both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+edges AS (SELECT kind, src, dst, n::DOUBLE / (sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM both_ways),
+s0 AS (SELECT kind, host, seed AS score FROM seeds),{",".join(map(_round, range(1, ROUNDS + 1)))},
+z AS (SELECT host, sum(CASE kind WHEN 'trust' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS distrust FROM s{ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > 0 AND distrust >= {LIMIT}::DOUBLE * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN z USING (host)
+"""
