@@ -115,10 +115,10 @@ def fold_counters(edits: DataFrame) -> DataFrame:
 
 def valid_prefix(records: DataFrame) -> DataFrame:
     """Records (pos, ok, ...) before a broken tail; a broken record that is not the last is an error."""
-    ends = records.agg(F.min(F.when(~F.col("ok"), F.col("pos"))).alias("bad"), F.max("pos").alias("last"))  # one row
-    rows = records.crossJoin(F.broadcast(ends))
-    torn = F.when(F.col("bad").isNull() | (F.col("bad") == F.col("last")), F.col("bad")).otherwise(F.raise_error(F.lit("log damaged before its tail")).cast("long"))
-    return rows.where(F.coalesce(F.col("pos") < torn, F.lit(True))).drop("bad", "last")
+    ends = records.agg(F.struct(F.min(F.when(~F.col("ok"), F.col("pos"))).alias("bad"), F.max("pos").alias("last"))).scalar()
+    bad = ends["bad"]
+    torn = F.when(bad.isNull() | (bad == ends["last"]), bad).otherwise(F.raise_error(F.lit("log damaged before its tail")).cast("long"))
+    return records.where(F.coalesce(F.col("pos") < torn, F.lit(True)))
 
 
 def orphans(files: DataFrame, version: DataFrame) -> DataFrame:
