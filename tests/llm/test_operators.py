@@ -199,6 +199,29 @@ def test_automaton_against_edit_distance():
         assert v == want, w
 
 
+def test_automaton_of_stems_and_of_a_large_lexicon(monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(toxicity, "BUILT", 50)
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    monkeypatch.setattr(toxicity, "STRINGS", 40)
+    terms = sorted({"".join(r.choice("abcdefgh") for _ in range(r.randint(5, 7))) for _ in range(400)})
+    machine = toxicity.Automaton(terms, ["moron"], terms, ["moron"])
+    words = ["moron", "moronic", "m0ronic", "morxnic", "mornic", "mmoronic", "maroons", "mxrxnic", "xmoron"]
+    words += [w[:2] + "x" + w[3:] for w in terms] + [w[1:] for w in terms] + ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    for w, v in zip(words, machine.judge(pa.array(words)).tolist()):
+        plain = w.replace("0", "o")
+        soft = any(abs(len(t) - len(plain)) < 2 and distance(plain, t) == 1 for t in terms)
+        near = any(distance(plain[:k], "moron") == 1 for k in range(len(plain) + 1))
+        assert v == (1 if plain in terms else 2 if plain.startswith("moron") else 3 if soft else 4 if near else 0), w
+
+
+def test_lexicon_takes_all_that_is_sure(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))[::-1]
+    rows = [(0, name(i) + "zz", 100, 0) for i in range(1500)] + [(0, "reeuxab", 40, 0), (0, "reeuxac", 40, 0), (6, "reeuxa", 80, 0)]
+    own, stems, fuzzy, near = toxicity.lexicon(spark.createDataFrame(rows, "kind int, term string, bad long, good long"), 0.5)
+    assert len(own) == 1500 and stems == near == ["reeuxa"] and len(fuzzy) == 1502
+
+
 def test_quotation_is_told_apart():
     machine = toxicity.Automaton(["idiot"], [], ["idiot"])
     own, quoted, reported = toxicity.features(machine, pa.array(["you are an idiot", 'he said "you idiot you"', 'the word "idiot" is rude']))

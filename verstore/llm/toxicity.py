@@ -13,15 +13,19 @@ from verstore.llm.minhash import shingle_sets
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 4000
-#: Terms of the lexicon and misspellable ones of them, at most; least letters of the latter; letters of stems.
-TERMS, FUZZY, LONG, STEMS = 300, 80, 5, range(4, 8)
+#: Least letters of terms and stems that may be misspelt; letters of stems.
+LONG, STEMS = 5, range(4, 8)
+#: States of the automaton made at once and held at a time, about, and strings judged between two looks at the latter.
+BUILT, HELD, STRINGS = 20_000, 200_000, 20_000
+#: Items of a state beside 0 and 1 errors: an exact walk, a stem behind it, a misspelt stem behind it.
+EXACT, STEM, NEAR = 2, 3, 4
 #: Words on either side in which a reporting verb or a quote marks a hit as quotation.
 WINDOW, CUT = 6, 0.3
 #: Marks and verbs of quotation, and look-alikes of letters.
 QUOTES = '["“”„«»]'
 REPORTING = ["said", "says", "wrote", "writes", "quoted", "quote", "called", "calling", "alleged", "reported", "reads", "word", "term"]
 ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-FEATURES = 6
+FEATURES = 7
 
 
 def plain(flat: pa.Array) -> pa.DictionaryArray:
@@ -33,79 +37,101 @@ def plain(flat: pa.Array) -> pa.DictionaryArray:
 
 
 class Automaton:
-    """The Levenshtein automata of all terms intersected with their trie, as one table of states.
+    """The Levenshtein automata of all terms and stems intersected with their trie, as one table of states.
 
-    A state is the set of (trie node, errors so far); its verdict is 1 for a
+    A state is the set of (trie node, errors so far), as numbers; its verdict is 1 for a
     term, 2 for a stem followed by anything, 3 for a term with one letter wrong,
-    missing or too many, and 0 else.
+    missing or too many, 4 for such a stem followed by anything, and 0 else.
+    The first BUILT states are made at once, further ones when a word first leads
+    to them; more than HELD of them are forgotten and made anew, so a lexicon of any size fits.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str]):
-        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for w in [*terms, *stems] for c in w}))}
-        kids: list[dict[int, int]] = [{}]
-        self.term, self.stem, self.soft = set(), set(), set()
+    def __init__(self, terms: list[str], stems: list[str], fuzzy: list[str], near: list[str] = ()):
+        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for w in [*terms, *stems, *fuzzy, *near] for c in w}))}
+        # Roots 0: exact terms and stems, 1: terms that may be misspelt, 2: stems that may be.
+        self.kids: list[dict[int, int]] = [{}, {}, {}]
 
         def add(word: str, root: int) -> int:
             node = root
             for c in word:
                 k = self.letters[c]
-                if k not in kids[node]:
-                    kids[node][k] = len(kids)
-                    kids.append({})
-                node = kids[node][k]
+                if k not in self.kids[node]:
+                    self.kids[node][k] = len(self.kids)
+                    self.kids.append({})
+                node = self.kids[node][k]
             return node
 
-        kids.append({})  # 0: exact terms and stems, 1: terms that may be misspelt
-        self.term |= {add(w, 0) for w in terms}
-        self.stem |= {add(w, 0) for w in stems}
-        self.soft |= {add(w, 1) for w in fuzzy}
-        self.kids = kids
-        start = self._close({(0, -1), (1, 0)})
-        index, table, verdict, todo = {start: 0}, [], [], [start]
-        while len(table) < len(todo):
-            state = todo[len(table)]
-            row = []
+        self.term, self.stem = {add(w, 0) for w in terms}, {add(w, 0) for w in stems}
+        self.soft, self.near = {add(w, 1) for w in fuzzy}, {add(w, 2) for w in near}
+        self._begin()
+        done = 0
+        while done < len(self.sets) <= BUILT:
             for c in range(len(self.letters) + 1):
-                after = self._step(state, c)
-                if after not in index:
-                    index[after] = len(todo)
-                    todo.append(after)
-                row.append(index[after])
-            table.append(row)
-            verdict.append(self._verdict(state))
-        self.table, self.verdict = np.array(table, np.int32), np.array(verdict, np.int8)
-        self.dead = index.get(frozenset(), -1)
+                self._link(done, c)
+            done += 1
+
+    def _begin(self) -> None:
+        self.index, self.sets = {}, []
+        self.table, self.verdict = np.full((64, len(self.letters) + 1), -1, np.int32), np.zeros(64, np.int8)
+        self._number(self._close({self._item(0, EXACT), self._item(1, 0), self._item(2, 0)}))
+        self.dead = self._number(frozenset())
+
+    @staticmethod
+    def _item(node: int, e: int) -> int:
+        return node * 8 + e
+
+    def _number(self, state: frozenset) -> int:
+        k = self.index.setdefault(state, len(self.sets))
+        if k == len(self.sets):
+            self.sets.append(state)
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.verdict = np.concatenate([self.verdict, np.zeros_like(self.verdict)])
+            self.verdict[k] = self._verdict(state)
+        return k
 
     def _close(self, state: set) -> frozenset:
         out = set(state)
-        for node, e in state:
-            if e == 0:
-                out |= {(k, 1) for k in self.kids[node].values()}
+        for item in state:
+            if item % 8 == 0:
+                out |= {self._item(k, 1) for k in self.kids[item // 8].values()}
+        if any(item % 8 == 1 and item // 8 in self.near for item in out):
+            out.add(self._item(0, NEAR))
         return frozenset(out)
 
-    def _step(self, state: frozenset, c: int) -> frozenset:
+    def _link(self, k: int, c: int) -> None:
         out = set()
-        for node, e in state:
-            if e == -2 or (e == -1 and node in self.stem):
-                out.add((0, -2))
-            if e == -2:
+        for item in self.sets[k]:
+            node, e = divmod(item, 8)
+            if e in (STEM, NEAR):
+                out.add(item)
                 continue
+            if e == EXACT and node in self.stem:
+                out.add(self._item(0, STEM))
             if c in self.kids[node]:
-                out.add((self.kids[node][c], e))
+                out.add(self._item(self.kids[node][c], e))
             if e == 0:
-                out.add((node, 1))
-                out |= {(k, 1) for k in self.kids[node].values()}
-        return self._close(out)
+                out.add(self._item(node, 1))
+                out |= {self._item(n, 1) for n in self.kids[node].values()}
+        self.table[k, c] = self._number(self._close(out))  # the table may have been replaced by then
 
     def _verdict(self, state: frozenset) -> int:
-        if any(e == -1 and node in self.term for node, e in state):
+        if any(i % 8 == EXACT and i // 8 in self.term for i in state):
             return 1
-        if any(e == -2 or (e == -1 and node in self.stem) for node, e in state):
+        if any(i % 8 == STEM or (i % 8 == EXACT and i // 8 in self.stem) for i in state):
             return 2
-        return 3 if any(e >= 0 and node in self.soft for node, e in state) else 0
+        if any(i % 8 <= 1 and i // 8 in self.soft for i in state):
+            return 3
+        return 4 if self._item(0, NEAR) in state else 0
 
     def judge(self, strings: pa.Array) -> np.ndarray:
         """The verdict of each string; all strings take a step at a time, those in the dead state drop out."""
+        parts = [self._judge(strings.slice(i, STRINGS)) for i in range(0, len(strings), STRINGS)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int8)
+
+    def _judge(self, strings: pa.Array) -> np.ndarray:
+        if len(self.sets) > HELD:
+            self._begin()
         flat, at = code_points(strings)
         of = np.zeros(int(max(flat.max(initial=0), 255)) + 1, np.int32)
         for c, k in self.letters.items():
@@ -116,14 +142,18 @@ class Automaton:
         size, state = np.diff(at), np.zeros(len(strings), np.int32)
         live, i = np.flatnonzero(size > 0), 0
         while len(live):
-            state[live] = self.table[state[live], of[flat[at[live] + i]]]
+            old, by = state[live], of[flat[at[live] + i]]
+            miss = self.table[old, by] < 0
+            for pair in np.unique(old[miss].astype(np.int64) * self.table.shape[1] + by[miss]).tolist() if miss.any() else ():
+                self._link(*divmod(pair, self.table.shape[1]))
+            state[live] = self.table[old, by]
             i += 1
             live = live[(size[live] > i) & (state[live] != self.dead)]
         return self.verdict[state]
 
 
 def features(machine: Automaton, texts: pa.Array) -> np.ndarray:
-    """By text: hits of terms, stems and misspellings in its own voice, quoted hits, any sure hit, hits per 100 words."""
+    """By text: hits of terms, stems and misspellings in its own voice, quoted hits, any sure hit, hits per 100 words, misspelt stems."""
     at, flat = words(texts)
     coded = plain(flat)
     index = coded.indices.to_numpy(zero_copy_only=False)
@@ -143,6 +173,7 @@ def features(machine: Automaton, texts: pa.Array) -> np.ndarray:
     out[:, 3] = np.log1p(np.bincount(doc[quoted], minlength=n))
     out[:, 4] = (out[:, 0] + out[:, 1]) > 0
     out[:, 5] = np.minimum(10, 100 * np.bincount(doc[~quoted], minlength=n) / np.maximum(1, np.diff(at)))
+    out[:, 6] = np.log1p(np.bincount(doc[(kind[hit] == 4) & ~quoted], minlength=n))
     return out
 
 
@@ -172,27 +203,30 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 0.1) ->
     return w
 
 
-def lexicon(counts: DataFrame, share: float) -> tuple[list[str], list[str], list[str]]:
-    """Terms, stems and misspellable terms: those that toxic documents use more than chance explains.
+def lexicon(counts: DataFrame, share: float) -> tuple[list[str], list[str], list[str], list[str]]:
+    """Terms, stems, misspellable terms and stems: those that toxic documents use more than chance explains.
 
     counts: kind, term, bad, good (documents of the sample).  The share of toxic
     ones among a term's documents must be 0.8 (stems: 0.9) and so far from
     the sample's that it would arise among all terms once in a hundred samples.
+    All that pass are taken.  Terms that begin with a stem count as the stem where they are spelt right.
     """
     many = max(1, counts.count())
     n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     far = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
     sure = counts.where((F.col("bad") > 0) & (p >= F.when(F.col("kind") == 0, 0.8).otherwise(0.9)) & (n * far >= float(np.log(100 * many))))
-    best = sure.orderBy(F.desc(n * far), "kind", "term").limit(4 * TERMS).collect()
+    best = sure.orderBy(F.desc(n * far), "kind", "term").collect()
     terms = {r.term: r.bad for r in best if r.kind == 0}
-    terms = dict(list(terms.items())[:TERMS])
-    stems: list[str] = []
+    most: dict[str, int] = {}
+    for t, bad in terms.items():
+        for k in STEMS:
+            most[t[:k]] = max(bad, most.get(t[:k], 0))
+    stems: dict[str, None] = {}
+    begins = lambda t: any(t[:k] in stems for k in STEMS)
     for r in sorted((r for r in best if r.kind), key=lambda r: (len(r.term), r.term)):
-        of_one = any(t.startswith(r.term) and bad >= 0.8 * r.bad for t, bad in terms.items())
-        if not of_one and not any(r.term.startswith(s) for s in stems):
-            stems.append(r.term)
-    own = [t for t in terms if not any(t.startswith(s) for s in stems)]
-    return own, stems[:TERMS], [t for t in own if len(t) >= LONG][:FUZZY]
+        if not most.get(r.term, -1) >= 0.8 * r.bad and not begins(r.term):
+            stems[r.term] = None
+    return [t for t in terms if not begins(t)], list(stems), [t for t in terms if len(t) >= LONG], [t for t in stems if len(t) >= LONG]
 
 
 def unlike(rows: DataFrame) -> DataFrame:
