@@ -228,6 +228,14 @@ def test_quotation_is_told_apart():
     assert own[0] > 0 and own[3] == 0 and quoted[0] == 0 and quoted[3] > 0 and reported[3] > 0
 
 
+def test_stray_marks_do_not_quote_the_rest():
+    machine, far = toxicity.Automaton(["idiot"], [], ["idiot"]), " word" * 30
+    own = ['a 6" pipe' + far + " you idiot", 'he said "cut off' + far + ". you idiot", '"one" you idiot "two"', '"well' + far + ". an idiot you are." + far + ' 6" pipe', 'you idiot"s', '"one" «two» idiot']
+    told = ['6" pipe' + far + ' "you idiot" ok', '"you, idiot!" he', "« you idiot »", '" you idiot "', "„du idiot“ ja", '("you idiot")', '"an' + far + " idiot" + far + '" ok', '"idiot"', '"idiot of mine"']
+    got = toxicity.features(machine, pa.array(own + told))
+    assert [bool(x) for x in got[:, 3]] == [False] * len(own) + [True] * len(told)
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     r, rows, labels = random.Random(6), [], []
     for i in range(1500):

@@ -23,6 +23,8 @@ EXACT, STEM, NEAR = 2, 3, 4
 WINDOW, CUT = 6, 0.3
 #: Marks and verbs of quotation, and look-alikes of letters.
 QUOTES = '["“”„«»]'
+#: Words that begin or end with a mark; one that is only a mark does both where its form doesn't tell; ends of sentences.
+OPENS, CLOSES, ENDS = r'^[^\pL\pN"“”„«»]*(["“„«]|["“”„«»][^\pL\pN]*[\pL\pN])', r'(["”»]|[\pL\pN][^\pL\pN]*["“”„«»])[^\pL\pN"“”„«»]*$', r'[.!?]["“”»)\]]*$'
 REPORTING = ["said", "says", "wrote", "writes", "quoted", "quote", "called", "calling", "alleged", "reported", "reads", "word", "term"]
 ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 FEATURES = 7
@@ -152,6 +154,32 @@ class Automaton:
         return self.verdict[state]
 
 
+def within(raw: pa.DictionaryArray, hit: np.ndarray, first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each hit's nearest mark before it opens and its nearest one after it closes, both in its window or sentence.
+
+    first, last: edges of the hit's document; lo, hi: of its window.  A mark at a word's
+    beginning opens and one at its end closes, so inch signs and quotes cut off pair with nothing.
+    """
+    if not len(hit):
+        return np.zeros(0, bool)
+    of = raw.indices.to_numpy(zero_copy_only=False)
+    has = lambda pattern: pc.match_substring_regex(raw.dictionary, pattern=pattern).to_numpy(zero_copy_only=False)[of]
+    opens, closes, place = has(OPENS), has(CLOSES), np.arange(len(of))
+    letters = has(r"[\pL\pN]")
+    left = np.maximum.accumulate(np.where(opens | closes, place, -1))  # the last word with a mark up to each word
+    right = np.minimum.accumulate(np.where(opens | closes, place, len(of))[::-1])[::-1]
+    ends = has(ENDS)
+    begun = np.maximum.accumulate(np.where(np.concatenate([[True], ends[:-1]]), place, 0))
+    ended = np.minimum.accumulate(np.where(ends, place + 1, len(of))[::-1])[::-1]
+    lo, hi = np.maximum(first, np.minimum(lo, begun[hit])), np.minimum(last, np.maximum(hi, ended[hit]))
+    # The hit's own mark counts on its own side only.
+    before = np.where(opens[hit], hit, np.where(hit > 0, left[hit - 1], -1))
+    after = np.where(closes[hit], hit, np.append(right, len(of))[hit + 1])
+    b, a = np.maximum(before, 0), np.minimum(after, len(of) - 1)
+    opened = (before >= lo) & opens[b] & ((b == hit) | ~closes[b] | ~letters[b])
+    return opened & (after < hi) & closes[a] & ((a == hit) | ~opens[a] | ~letters[a])
+
+
 def features(machine: Automaton, texts: pa.Array) -> np.ndarray:
     """By text: hits of terms, stems and misspellings in its own voice, quoted hits, any sure hit, hits per 100 words, misspelt stems."""
     at, flat = words(texts)
@@ -165,8 +193,7 @@ def features(machine: Automaton, texts: pa.Array) -> np.ndarray:
     hit = np.flatnonzero(kind)
     doc = np.searchsorted(at, hit, side="right") - 1
     lo, hi = np.maximum(at[doc], hit - WINDOW), np.minimum(at[doc + 1], hit + WINDOW + 1) if len(hit) else hit
-    inside = (quotes[hit] - quotes[at[doc]]) % 2 == 1
-    quoted = inside | (marks[hit] >= 2) | (cues[hi] > cues[lo]) & (quotes[hi] > quotes[lo])
+    quoted = within(raw, hit, at[doc], at[doc + 1] if len(hit) else hit, lo, hi) | (marks[hit] >= 2) | (cues[hi] > cues[lo]) & (quotes[hi] > quotes[lo])
     n, out = len(texts), np.zeros((len(texts), FEATURES))
     for k in (1, 2, 3):
         out[:, k - 1] = np.log1p(np.bincount(doc[(kind[hit] == k) & ~quoted], minlength=n))
