@@ -236,6 +236,24 @@ def test_stray_marks_do_not_quote_the_rest():
     assert [bool(x) for x in got[:, 3]] == [False] * len(own) + [True] * len(told)
 
 
+def test_near_copies_are_of_one_document(spark):
+    # The last row has half of its words from each of two others, so it is a near copy of none.
+    r = random.Random(8)
+    one, two = ([f"{c}{r.random()}" for _ in range(40)] for c in "ab")
+    least = lambda t: {(k, int(x)) for k, x in enumerate((minhash.shingle_sets(pa.array([" ".join(t)]), 3)[0][None, :] * (np.arange(1, 17, 2, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).min(axis=1))}
+    for _ in range(2000):
+        a, b, new = r.randrange(36), r.randrange(36), [f"c{r.random()}" for _ in range(8)]
+        mixed = one[a : a + 4] + new + two[b : b + 4]
+        if len(least(mixed) & least(one)) == len(least(mixed) & least(two)) == 1:
+            break
+    else:
+        raise AssertionError("no such row")
+    rows = [(1, 1, " ".join(one)), (2, 0, " ".join(two)), (3, 1, " ".join(mixed)), (4, 1, " ".join(one) + " more"), (5, 0, None), (6, 0, "")]
+    kept = toxicity.unlike(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()
+    assert [x.text for x in sorted(kept, key=lambda x: -len(x.text or ""))][:3] == sorted([" ".join(one), " ".join(two), " ".join(mixed)], key=lambda t: -len(t))
+    assert len(kept) == 4
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     r, rows, labels = random.Random(6), [], []
     for i in range(1500):

@@ -260,7 +260,7 @@ def unlike(rows: DataFrame) -> DataFrame:
     """The sample's rows without near copies of others: what many copies of one document say counts once.
 
     Documents that share 2 of 8 least hashes of their 3-word shingles with
-    earlier ones go.  The driver sees 8 numbers for each document of the bounded sample.
+    one earlier document go.  The driver sees 8 numbers for each document of the bounded sample.
     """
 
     def run(batches):
@@ -272,12 +272,9 @@ def unlike(rows: DataFrame) -> DataFrame:
 
     names = [f"h{k} long" for k in range(8)]
     found = rows.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(names)).collect()
-    seen, gone = set(), []
-    for r in sorted(found, key=lambda r: r[0]):
-        own = {(k, v) for k, v in enumerate(r[1:])}
-        if len(own & seen) >= 2:
-            gone.append((r[0],))
-        seen |= own
+    found.sort(key=lambda r: r[0])
+    least = np.array([r[1:] for r in found], np.int64).reshape(-1, 8)
+    gone = [(r[0],) for i, r in enumerate(found) if ((least[:i] == least[i]).sum(axis=1) >= 2).any()]
     drop = rows.sparkSession.createDataFrame(gone, f"doc_id {dict(rows.dtypes)['doc_id']}")
     return rows.join(F.broadcast(drop), "doc_id", "left_anti").select("toxic", "text")
 
