@@ -285,6 +285,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(empty).count() == 0
 
 
+def test_trust_reaches_the_end_of_a_long_chain(spark):
+    chain = [(i, f"https://h{i}.org/" if i else "https://x.net/fr/", f'<a href="http://h{i - 1}.org/">' if i > 1 else '<a href="http://x.net/">' if i else None) for i in range(20)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" for i in range(20))
+    assert all(abs(got[i].distrust / (0.15 * 0.85**i) - 1) < 1e-6 for i in range(20))
+
+
 # -- languages
 def paths(word, p):
     if not word:

@@ -8,8 +8,10 @@ from verstore.llm.common import cut, read
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Damping, rounds of propagation, and how many times its trust a host's distrust must reach to be blocked.
+#: Damping, rounds of propagation in the SQL, and how many times its trust a host's distrust must reach to be blocked.
 DAMPING, ROUNDS, LIMIT = 0.85, 12, 1.0
+#: Share of any host's score that a round may still add at the end, and rounds between two looks at it.
+TOLERANCE, LOOK = 1e-6, 8
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\s]+)"""
 
 
@@ -30,20 +32,24 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull()))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, kind, score: personalised PageRank of each kind from its seeds.
 
     edges: kind, src, dst, share (of src's links); seeds: kind, host, seed.
     Each round joins the scores to the edges and sums them by (kind, dst);
     sums form before the shuffle, so a much-linked host is one row per task.
+    Scores grow from the seeds' own share, so `last`, the score of the round before, is less
+    wherever mass or a new host still arrives; rounds go on until none adds more than `tolerance` of a host's score.
     """
-    scores = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for k in range(rounds):
-        sent = scores.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        scores = sent.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            scores = cut(scores)
-    return scores
+    own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
+    scores = own.withColumn("last", F.lit(0.0))
+    while True:
+        for _ in range(LOOK):
+            sent = scores.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), *[(damping * F.col(c) * F.col("share")).alias(c) for c in ("score", "last")])
+            scores = sent.unionByName(own.withColumn("last", F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
+        scores = cut(scores)
+        if scores.where(F.col("score") - F.col("last") > tolerance * F.col("score")).isEmpty():
+            return scores.drop("last")
 
 
 def host_scores(judged: DataFrame) -> DataFrame:
