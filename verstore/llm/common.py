@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,55 @@ def trim() -> None:
         pass
 
 
-def bound_batches(df: DataFrame, rows: int = 2500) -> None:
-    """Arrow batches of `rows` rows where the session has Spark's default of 10,000: long texts fill a worker's memory."""
+def in_batches(df: DataFrame, rows: int = 2500) -> DataFrame:
+    """df, computed now in Arrow batches of at most `rows` rows: more long texts would fill a worker's memory.
+
+    The session's own setting is back when this returns; what is computed lies in the shared folder.
+    """
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, str(rows))
+    own = conf.get(name)
+    conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, own)
+
+
+def share(spark: SparkSession, value):
+    """A broadcast of value as bytes, pickled by value: executors need not have this package.  taken() gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def taken(shared):
+    return pickle.loads(shared.value)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that is in none of the columns, whatever its case."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column of long integers that tells all its rows apart.
+
+    That is doc_id where it is an integer, never null and never repeated.  Else it is a
+    number of its own in a copy of docs in the shared folder, so that equal rows,
+    rows without an id and rows that share an id are told apart for good.
+    """
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+            return docs, "doc_id"
+    row = fresh(docs.columns, "__row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def only(docs: DataFrame, row: str, keep: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose number is in the one column of keep (left_anti: is not), with `columns` only."""
+    own = fresh(docs.columns, "__of")
+    return docs.join(keep.toDF(own), F.col(row) == F.col(own), how).select(*columns)
 
 
 def tidy(function):
