@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from verstore.llm import embedding_dedup, exact_dedup, langid, minhash, mixing, packing, suffix_dedup, token_counts, toxicity, url_filter
 from verstore.llm.components import connected_components
@@ -59,7 +60,7 @@ def test_exact(spark, docs, bits):
     nameless = next(r for (i, _), r in got.items() if i is None)
     assert nameless.keep_id is None and nameless.kept
     assert exact_dedup.exact_dedup(docs).count() == len(TEXTS)
-    assert {r.doc_id for r in exact_dedup.drop_copies(docs).collect()} == {2, 4, 5, 6, 7, 8, 9, None}
+    assert sorted(r.doc_id or 0 for r in exact_dedup.drop_copies(docs).collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
@@ -136,6 +137,80 @@ def test_mix_of_odd_rows(spark, docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def greedy(rows, weights=(5, 2, 1)):
+    """(doc_id: words taken, source: words left over) of the mix, one document after the other."""
+    size = {i: len(split(t)) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    whole = {n: sum(size[i] for i, _, s in rows if s == n) for n in names}
+    weight = {n: weights[k % 3] for k, n in enumerate(names)}
+    target, full = {}, set()
+    while True:
+        left = 1.5 * sum(whole.values()) - sum(2 * whole[n] for n in full)
+        target = {n: 2.0 * whole[n] if n in full else left * weight[n] / sum(weight[m] for m in names if m not in full) for n in names}
+        more = {n for n in names if n not in full and target[n] > 2 * whole[n]}
+        if not more:
+            break
+        full |= more
+    taken, gaps = {}, {}
+    for n in names:
+        base = int(target[n] // whole[n]) if whole[n] else 0
+        gap = int(target[n] - base * whole[n])
+        budget = gap
+        own = [(i, (int(hashlib.md5(f"{i}:{mixing.SEED}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for i, _, s in rows if s == n]
+        for i, u in sorted(own, key=lambda x: (x[1] / (1 - x[1]) * ((whole[n] - budget) / (budget + size[x[0]] or 1)), x[0])):
+            fits = budget > 0 and 0 < size[i] <= gap
+            taken[i] = size[i] * (base + fits)
+            gap -= size[i] * fits
+        gaps[n] = gap
+    return taken, gaps
+
+
+@pytest.mark.parametrize("seed, cells", [(3, 4096), (4, 3)])
+def test_mix_takes_what_fits_until_nothing_does(spark, monkeypatch, seed, cells):
+    """Sizes from 0 to 3,000 words, so large documents are passed over many times; also with three cells for all ranks."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    r = random.Random(seed)
+    rows = [(i, "w " * int(3000 ** r.random() - 1), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(250)]
+    rows += [(900 + i, "w " * 7, "e") for i in range(100)]
+    want, gaps = greedy(rows)
+    got = {x.doc_id: x.taken for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == want
+    smallest = {s: min((len(split(t)) for i, t, o in rows if o == s and len(split(t)) and want[i] < 2 * len(split(t))), default=0) for s in gaps}
+    assert sum(gaps.values()) < sum(map(len, (t for _, t, _ in rows))) and min(smallest.values()) >= 0
+
+
+def test_larger_documents_have_larger_inclusion_odds():
+    """Beside small ones, a document of a fifth of the budget is taken about as often as they are; with equal odds it is passed over more."""
+    r = random.Random(1)
+    sizes, budget = [1] * 60 + [8], 40
+    whole, hits, changed = sum(sizes), Counter(), 0
+    for _ in range(3000):
+        u = [r.random() for _ in sizes]
+        chosen = {}
+        for name in ("size", "equal"):
+            by = [x / (1 - x) / ((budget + s * (name == "size")) / (whole - budget)) for x, s in zip(u, sizes)]
+            gap, took = budget, set()
+            for k in sorted(range(len(sizes)), key=by.__getitem__):
+                if sizes[k] <= gap:
+                    gap -= sizes[k]
+                    took.add(k)
+            chosen[name] = took
+            hits[name] += 60 in took
+        changed += chosen["size"] != chosen["equal"]
+    rate = budget / whole
+    assert abs(hits["size"] - 3000 * rate) < abs(hits["equal"] - 3000 * rate) / 2 and changed > 50
+
+
+def test_mixed_documents_puts_out_what_the_mix_took(spark):
+    rows = [(1, "a b c d", "s"), (1, "e", "s"), (2, "f g", "t"), (None, "h i j", "t"), (None, "h i j", "t"), (3, None, "t")]
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, source string, __copy int, __copies int, __of int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words_out = sum(len(split(x.text)) for x in out.collect())
+    rows_drawn = mixing.mix(docs.drop("doc_id").withColumn("doc_id", F.monotonically_increasing_id())).collect()
+    assert words_out == sum(x.taken for x in rows_drawn) and {(x.asDict()["__copy"], x.asDict()["__of"]) for x in out.collect()} == {(7, 9)}
+
+
 # -- repeated strings
 def stripped(rows):
     seen, out = {}, {}
@@ -293,23 +368,59 @@ def test_trust_reaches_the_end_of_a_long_chain(spark):
 
 
 # -- languages
-def paths(word, p):
+def segmentations(word, p, longest=6):
+    """All ways to cut word into pieces, with their probabilities; a character without a piece is the unknown one."""
     if not word:
-        return 1.0
-    return sum(p.get(word[:k], 0.0) * paths(word[k:], p) for k in range(1, min(len(word), langid.PIECE) + 1))
+        return [([], 1.0)]
+    out = []
+    for k in range(1, min(len(word), longest) + 1):
+        piece = word[:k] if word[:k] in p else "?" if k == 1 else None
+        if piece:
+            out += [([piece, *rest], p[piece] * q) for rest, q in segmentations(word[k:], p, longest)]
+    return out
+
+
+PIECES = ["a", "b", "ab", "ba", "aba", "c", "▁", "▁a", "bab", "."]
+
+
+def table_of(model, lang):
+    return {x: model.table[r, lang] for r, x in enumerate(["?", *PIECES])}
+
+
+def test_forward_sum_is_over_all_segmentations(monkeypatch):
+    model = langid.Model(["x", "y"], PIECES).fit([{"▁abab": 3, "▁abc": 1}, {"▁bbb": 2, "▁c.ab": 2}])
+    strings = ["abab", "c", "", "▁ababababababa.bab", "▁bca", "zaz日", "▁▁"]
+    for cells in (1 << 20, 20):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        got = model.log_likelihood(*langid.code_points(pa.array(strings)))
+        for lang in (0, 1):
+            assert np.allclose(got[:, lang], [np.log(sum(q for _, q in segmentations(s, table_of(model, lang)))) for s in strings])
+
+
+def test_long_words_do_not_underflow():
+    model = langid.Model(["x", "y"], PIECES).fit([{"▁abab": 3, "▁abc": 1}, {"▁bbb": 2, "▁c.ab": 2}])
+    one, many = model.log_likelihood(*langid.code_points(pa.array(["zzzz", "z" * 4000])))
+    assert np.allclose(many, 1000 * one)
+
+
+def test_expected_counts_are_over_all_segmentations():
+    model = langid.Model(["x", "y"], PIECES).fit([{"▁abab": 3, "▁abc": 1}, {"▁bbb": 2, "▁c.ab": 2}])
+    own = {"▁ababa": 3, "cab.": 2, "zbab": 5, "a": 1}
+    got = model._expected(model._edges(own), model.table[:, 0])
+    want = Counter()
+    for w, n in own.items():
+        paths = segmentations(w, table_of(model, 0))
+        total = sum(q for _, q in paths)
+        for pieces, q in paths:
+            for x in pieces:
+                want[x] += n * q / total
+    assert np.allclose(got, [want[x] for x in ["?", *PIECES]])
 
 
-def test_forward_sum_is_over_all_segmentations():
-    pieces = ["a", "b", "ab", "ba", "aba", "c"]
-    model = langid.Model(["x", "y"], pieces).fit([{"abab": 3, "abc": 1}, {"bbb": 2, "cab": 2}])
-    points, at = langid.code_points(pa.array(pieces))
-    rows = [model.lookup(points, np.array([a]))[n - 1, 0] for a, n in zip(at[:-1], np.diff(at))]
-    strings = ["abab", "c", "", "ababababababababababab", "bca"]
-    points, at = langid.code_points(pa.array(strings))
-    got = model.log_likelihood(points, at)
-    for lang in (0, 1):
-        p = {x: model.table[r, lang] for x, r in zip(pieces, rows)}
-        assert np.allclose(got[:, lang], [np.log(paths(s, p)) for s in strings])
+def test_whole_vocabulary_is_used():
+    pieces = langid.public_pieces()
+    assert len(pieces) > 30_000 and {"▁international", "The", ",", "1"} <= set(pieces)
+    assert not any("▁" in x.lstrip("▁") for x in pieces)
 
 
 def test_language_on_held_out_rows(spark, docs):
@@ -325,6 +436,9 @@ def test_language_on_held_out_rows(spark, docs):
     odd = {x.doc_id: x for x in langid.identify(docs, model).collect()}
     assert odd[3].lang_pred == odd[4].lang_pred == odd[5].lang_pred == "und" and odd[3].score == 0
     assert langid.known_language(docs, model).columns == docs.columns
+    long = frame(spark, [(1, "the" * 50_000), (2, "der sch " * 30_000), (3, "1 2 ." * 1000)])
+    assert {x.doc_id: x.lang_pred for x in langid.identify(long, model).collect()} == {1: "aa", 2: "bb", 3: "und"}
+    assert langid.identify(docs.where("false"), model).count() == 0 and langid.known_language(docs.where("false"), model).count() == 0
     assert {x.lang_pred for x in langid.identify(docs, langid.train(docs.where("false"))).collect()} == {"und"}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import read
+from verstore.llm.common import only, read, with_rows
 
 
 def content_classes(keyed: DataFrame) -> DataFrame:
@@ -43,9 +43,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose row stays."""
-    keep = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep.select(F.col("doc_id").alias("__keep")), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each text, with all its columns.
+
+    The row with the largest doc_id stays; where ids are null or repeat, rows
+    are numbered and the last row of each text stays, so rows that
+    are equal in every column are one row in the result.  A null text equals the empty
+    one.  An empty table stays empty; columns of any name are kept.
+    """
+    rows, row = with_rows(docs)
+    keep = exact_dedup(rows.select(F.col(row).alias("doc_id"), "text")).where("kept").select("doc_id")
+    return only(rows, row, keep, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

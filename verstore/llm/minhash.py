@@ -8,15 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import bound_batches, chunks, cut, read, tidy, words
+from verstore.llm.common import chunks, cut, in_batches, only, read, tidy, with_rows, words
 from verstore.llm.components import connected_components
 
 #: Bands and registers of a band; mantissa bits of a register.
 BANDS, ROWS, MANTISSA = 25, 5, 10
 #: Members that one task compares with each other, and shingles they may hold together.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Ids that are broadcast at most; above it the documents are shuffled instead.
-SMALL = 2_000_000
+#: Ids that are broadcast at most (some 25 MB); above it the documents are shuffled instead.
+SMALL = 500_000
 WORDS, PERCENT = 5, 80
 
 _rng = np.random.default_rng(7)
@@ -81,7 +81,6 @@ def chance(n: float, m: float) -> float:
 def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n, set_hash, keys: sizes, 128-bit set fingerprints and band keys (none for an empty set)."""
 
-    bound_batches(docs)
     def run(batches):
         for part in chunks(batches):
             sets = shingle_sets(part.column("text"), n)
@@ -180,7 +179,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     Rows with equal ids get the component of their set each; rows with a null id
     have a null component and are not kept apart: kept is null.  Other columns are not read.
     """
-    sketch = cut(sketches(docs, n))
+    sketch = in_batches(sketches(docs, n))
     ids = F.col("doc_id").cast("long")
     sets = sketch.where("n > 0 and doc_id is not null")
     reps = cut(sets.groupBy("set_hash").agg(F.min(F.struct(ids.alias("id"), "n", "keys")).alias("r")).select("set_hash", "r.*"))
@@ -190,7 +189,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     sizes = stars.groupBy("gid", "gn").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("gid", "gn", parts(F.col("c"), F.col("s")).alias("blocks"))
     followers = stars.drop("gn").join(sizes.drop("gn"), "gid").select("gid", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "n")
     heads = sizes.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("gid").alias("id"), F.col("gn").alias("n"))
-    first = cut(confirmed(followers.unionByName(heads).withColumn("component", F.col("id")), docs, n, percent))
+    first = in_batches(confirmed(followers.unionByName(heads).withColumn("component", F.col("id")), docs, n, percent))
 
     known = connected_components(first)
     named = cut(reps.join(known, "id", "left").select("set_hash", "id", "n", "keys", F.coalesce("component", "id").alias("component")))
@@ -201,7 +200,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     rows = bands.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    rest = cut(confirmed(rows.select(F.col("key").alias("gid"), pair.alias("block"), "id", "n", "component"), docs, n, percent))
+    rest = in_batches(confirmed(rows.select(F.col("key").alias("gid"), pair.alias("block"), "id", "n", "component"), docs, n, percent))
     merged = connected_components(rest.unionByName(first))
     final = named.select("set_hash", "id").join(merged, "id", "left").select(F.col("set_hash").alias("own"), F.coalesce("component", "id").alias("found"))
     out = sketch.drop("keys").join(final, (F.col("set_hash") == F.col("own")) & (F.col("n") > 0), "left")
@@ -210,9 +209,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, less those with a near-duplicate of smaller id in their component."""
-    drop = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    """The documents, with all their columns, less those with a near-duplicate of smaller id in their component.
+
+    Where ids are null or repeat, rows are numbered and the first one of each component stays,
+    so rows that share an id are judged by their own texts and equal rows are one.  Null and empty texts are
+    near nothing and stay.  An empty table stays empty; columns of any name are kept.
+    """
+    rows, row = with_rows(docs)
+    drop = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), n, percent).where("not kept").select("doc_id")
+    return only(rows, row, drop, docs.columns, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,12 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
 
     def run(batches):
         gc.disable()  # hundreds of thousands of words and no cycles: collections only cost time
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()  # the worker serves other tasks later
+
+    def encoded(batches):
         encoder = Encoder(path)
         for part in chunks(gathered(batches, gather), limit=2 * gather):
             rows: list[list] = [[], [], [], [], []]

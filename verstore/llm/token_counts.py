@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from verstore.llm.common import bound_batches, chunks, read, tidy
+from verstore.llm.common import chunks, in_batches, read, tidy
 
 #: Characters of a chunk and of the first overlap; texts up to CHUNK + OVERLAP are encoded in one go.
 CHUNK, OVERLAP, LIMIT = 1 << 15, 256, 4096
@@ -73,7 +73,6 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     any length takes the memory of a few chunks beyond its text.
     """
 
-    bound_batches(docs)
     def run(batches):
         sp = load(path)
         if not splits_at_spaces(sp):
@@ -87,7 +86,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import bound_batches, chunks, held_out, read, tidy, words
+from verstore.llm.common import chunks, held_out, in_batches, read, share, taken, tidy, words
 from verstore.llm.langid import code_points
 from verstore.llm.minhash import shingle_sets
 
@@ -292,7 +292,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.toxic from at most `sample` documents of each label that are not held out."""
-    rows, share, prior = sampled(docs, labels, sample)
+    rows, part_toxic, prior = sampled(docs, labels, sample)
     rows = rows.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism)).persist()
     own = unlike(rows).persist()
 
@@ -318,13 +318,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), terms.cast(pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["kind", "term", "bad", "good"])
 
     counts = own.mapInArrow(tidy(count), "kind int, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 1").persist()
-    machine = Automaton(*lexicon(counts, share))
+    machine = Automaton(*lexicon(counts, part_toxic))
     counts.unpersist()
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = share(docs.sparkSession, machine)
 
     def measure(batches):
+        machine = taken(shared)
         for part in chunks(batches):
-            x = features(shared.value, part.column("text"))
+            x = features(machine, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), *[pa.array(c) for c in x.T]], names=["y", *[f"f{k}" for k in range(FEATURES)]])
 
     got = own.mapInArrow(tidy(measure), "y double, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toPandas().to_numpy()
@@ -342,16 +343,16 @@ def toxicity(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     Whole texts are matched, in chunks of bounded size.  Null and empty texts have no hits and get the
     score of a text without any; rows are scored one by one and other columns are not read.
     """
-    bound_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
+        model = taken(shared)
         for part in chunks(batches):
-            score = shared.value.score(part.column("text"))
+            score = model.score(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
+    return in_batches(rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
