@@ -243,10 +243,42 @@ def test_repeated_strings_across_blocks(spark, monkeypatch):
     assert got == stripped(rows)
 
 
+def test_a_frequent_passage_is_dealt_by_whole_strings(spark, monkeypatch):
+    """Half of the documents hold one passage between words of their own, and a line of one byte; its leads fill several ranges."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    found = []
+    init = suffix_dedup.Ranges.__init__
+    monkeypatch.setattr(suffix_dedup.Ranges, "__init__", lambda self, *a: (init(self, *a), found.append(len(self.hot)))[0])
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = "the quick brown fox, which everyone knows, jumps over the lazy dog"
+    rows = [(i, word(r.randint(5, 40)) + (passage if i % 2 else "") + "x" * (80 * (i % 5 == 0)) + word(r.randint(5, 40))) for i in range(200)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.repeated_strings(frame(spark, rows)).collect()}
+    assert got == stripped(rows) and found[0] > 0
+
+
+@pytest.mark.parametrize("leaf", [2, 16, 1 << 14])
+def test_multikey_quicksort(monkeypatch, leaf):
+    monkeypatch.setattr(suffix_dedup, "LEAF", leaf)
+    g = np.random.default_rng(leaf)
+    for rows in (g.integers(0, 2, (3000, 20)), np.repeat(g.integers(0, 256, (40, 50)), 60, 0), np.zeros((500, 26)), np.zeros((0, 50)), g.integers(0, 3, (1000, 8))):
+        rows = rows.astype(np.uint8)
+        order = suffix_dedup.multikey_order(rows)
+        texts = [rows[k].tobytes() for k in order]
+        assert sorted(order.tolist()) == list(range(len(rows))) and texts == sorted(texts)
+        shared = suffix_dedup.common_prefixes(rows, order)
+        for a, b, n in zip(texts, texts[1:], shared[1:].tolist()):
+            assert a[:n] == b[:n] and (n == rows.shape[1] or a[n] != b[n])
+
+
 def test_repeated_strings_of_odd_rows(spark, docs, nothing):
     assert suffix_dedup.repeated_strings(docs).count() == len(TEXTS) and suffix_dedup.repeated_strings(nothing).count() == 0
     twice = frame(spark, [(1, "a" * 60), (1, "a" * 60), (None, "a" * 60)])
     assert sorted((r.doc_id or 9, r.n_removed) for r in suffix_dedup.repeated_strings(twice).collect()) == [(1, 0), (1, 0), (9, 60)]
+    long = "".join(random.Random(1).choice("abc") for _ in range(3_000_000))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_strings(frame(spark, [(1, long), (2, long[1000:2_000_000]), (3, "z" * 60 + long[-70:])])).collect()}
+    assert got == {1: 0, 2: 1_999_000, 3: 70}
 
 
 # -- toxicity

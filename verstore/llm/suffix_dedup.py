@@ -7,16 +7,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import read
+from verstore.llm.common import cut, read, share, taken
 
 #: Bytes of a string that counts as repeated; of the leading part by which suffixes are sampled and sorted.
 LENGTH, LEAD = 50, 24
 #: Bytes of text in a block of documents, about; anchors in a bucket, about.
 BLOCK, BUCKET = 8 << 20, 1 << 20
 PIECE = 1 << 19
+#: Blocks whose suffixes splitters are sampled from, least and most, and suffixes sampled from each; sorted at once by the library.
+SAMPLED, LEADS, LEAF = (16, 256), 8192, 1 << 14
+REACH = LENGTH - LEAD
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -25,11 +28,17 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def lead_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the LEAD bytes from each place at which they fit."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number."""
     word = data.astype(np.uint64)
     for k in (1, 2, 4):
         word = (word[:-k] << np.uint64(8 * k)) | word[k:]
+    return word
+
+
+def lead_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the LEAD bytes from each place at which they fit."""
+    word = eights(data)
     n = len(data) - LEAD + 1
     out = scramble(word[:n])
     for k in range(8, LEAD, 8):
@@ -37,6 +46,52 @@ def lead_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def multikey_order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes by multikey quicksort, eight bytes a character.
+
+    A range of rows that agree so far is split in three by a pivot of the next character; those equal to
+    it go on with the character after.  Ranges of LEAF rows or fewer are finished by the library.
+    """
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words = wide.view(">u8").astype(np.uint64)
+    order, todo = np.arange(len(rows)), [(0, len(rows), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == words.shape[1]:
+            continue
+        own = order[lo:hi]
+        if hi - lo <= LEAF:
+            order[lo:hi] = own[np.lexsort(words[own, depth:].T[::-1])]
+            continue
+        column = words[own, depth]
+        pivot = np.sort(column[:: max(1, len(column) // 255)])[min(127, (len(column) - 1) // 2)]
+        less, more = column < pivot, column > pivot
+        parts = own[less], own[~less & ~more], own[more]
+        order[lo:hi] = np.concatenate(parts)
+        for part, deeper in zip(parts, (0, 1, 0)):
+            todo.append((lo, lo + len(part), depth + deeper))
+            lo += len(part)
+    return order
+
+
+def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many first bytes each row shares with the one before it in order; -1 for the first row."""
+    out = np.full(len(order), -1, np.int16)
+    for i in range(1, len(order), 1 << 16):
+        some = rows[order[i - 1 : i + (1 << 16)]]
+        differ = some[1:] != some[:-1]
+        out[i : i + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def groups(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """For each row a number that it has in common with those that agree in the first `length` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < length)
+    return out
+
+
 def anchors(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, place, key) of the sampled suffixes of all documents in data.
 
@@ -44,7 +99,7 @@ def anchors(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     with LEAD bytes inside it, the one with the least hash of these bytes, the leftmost of equal ones.
     Equal strings sample the same place, so strings that repeat meet at their anchors.
     """
-    span = LENGTH - LEAD + 1
+    span = REACH + 1
     found = []
     end = start + size
     i = 0
@@ -106,9 +161,9 @@ class Block:
         self.bound = np.searchsorted(self.key[self.first] >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
-        """Bytes from LENGTH - LEAD before the anchors to LENGTH after; the sides of a document are 0."""
-        out = np.zeros((len(at), 2 * LENGTH - LEAD), np.uint8)
-        begin = self.place[at] - (LENGTH - LEAD)
+        """Bytes from REACH before the anchors to LENGTH after; the sides of a document are 0."""
+        out = np.zeros((len(at), REACH + LENGTH), np.uint8)
+        begin = self.place[at] - REACH
         lo = self.start[self.row[at]]
         hi = lo + self.size[self.row[at]]
         for k in range(out.shape[1]):
@@ -117,12 +172,19 @@ class Block:
             out[ok, k] = self.data[p[ok]]
         return out
 
+    def leads(self, at: np.ndarray) -> np.ndarray:
+        """The LEAD bytes from each anchor on, as byte strings that compare like them."""
+        out = np.empty((len(at), LEAD), np.uint8)
+        for k in range(LEAD):
+            out[:, k] = self.data[self.place[at] + k]
+        return out.view(f"S{LEAD}").ravel()
+
     def fits(self, at: np.ndarray) -> np.ndarray:
         """By anchor the first and last place in its context at which a string lies inside the document."""
         lo = self.start[self.row[at]]
         hi = lo + self.size[self.row[at]]
-        begin = self.place[at] - (LENGTH - LEAD)
-        return np.stack([np.maximum(0, lo - begin), np.minimum(LENGTH - LEAD, hi - LENGTH - begin)]).astype(np.int8)
+        begin = self.place[at] - REACH
+        return np.stack([np.maximum(0, lo - begin), np.minimum(REACH, hi - LENGTH - begin)]).astype(np.int8)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -177,125 +239,194 @@ def repeated_keys(table: pa.Table) -> pa.Table:
     return message([(block, bucket, n, squeeze(np.packbits(back[a : a + n]))) for (block, bucket, n, _), a in zip(raw, at)])
 
 
-def rows_hash(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of bytes."""
+def rows_hash(rows: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of each row of bytes."""
     wide = rows.shape[1] + (-rows.shape[1]) % 8
     padded = np.zeros((len(rows), wide), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    out = np.zeros(len(rows), np.uint64)
+    out = [np.zeros(len(rows), np.uint64), np.full(len(rows), A)]
     for column in padded.view(np.uint64).T:
-        out = scramble(out * B + column + A)
+        out = [scramble(h * m + column + m) for h, m in zip(out, (B, A))]
     return out
 
 
+def first_of_each(signs: list[np.ndarray], *rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's class by its signs, and of each class the row of the least rank; classes go by the ranks after the first."""
+    order = np.lexsort((rank[0], *signs, *rank[1:]))
+    new = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in signs], axis=0)]) if len(order) else np.zeros(0, bool)
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return own, order[new]
+
+
+class Ranges:
+    """Splitters of leading bytes, and the leads so frequent that their strings are dealt one by one."""
+
+    def __init__(self, leads: np.ndarray, buckets: int):
+        leads = np.sort(leads)
+        cuts = leads[np.arange(1, buckets) * len(leads) // buckets] if len(leads) else leads
+        self.splitters, count = np.unique(cuts, return_counts=True)
+        self.hot, self.buckets = self.splitters[count > 1], buckets
+
+    def of(self, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By lead its bucket, and whether it is a frequent one."""
+        at = np.searchsorted(self.splitters, leads, side="right")
+        return at, np.isin(leads, self.hot) if len(self.hot) else np.zeros(len(leads), bool)
+
+
 class Shared:
     """A block's anchors with repeated keys, and the one of each context that speaks for it.
 
     Anchors with the same surroundings form one class; the one of the smallest
-    document is sent.  Both passes over a block build the same classes in the same order.
+    document is sent to the bucket whose range its lead is in.  For frequent leads, every string around the
+    anchor is sent by itself, to a bucket by its hash.  All passes over a block build the same classes in the same order.
     """
 
-    def __init__(self, b: Block, bits: dict[int, np.ndarray]):
-        wanted = np.concatenate([bits.get(k, np.zeros(hi - lo, bool)) for k, (lo, hi) in enumerate(zip(b.bound[:-1], b.bound[1:]))]) if len(b.first) else np.zeros(0, bool)
-        count = np.diff(np.append(b.first, len(b.key)))
-        self.at = np.flatnonzero(np.repeat(wanted, count))
-        self.fits, sign = b.fits(self.at), np.zeros(len(self.at), np.uint64)
+    def __init__(self, b: Block, bits: dict[int, np.ndarray], ranges: Ranges):
+        every = self.repeated(b, bits)
+        bucket, hot = ranges.of(b.leads(every))
+        self.at, bucket = every[~hot], bucket[~hot]
+        self.fits, signs = b.fits(self.at), [np.zeros(len(self.at), np.uint64) for _ in (0, 1)]
         for i in range(0, len(self.at), 1 << 18):
             part = self.at[i : i + (1 << 18)]
-            sign[i : i + len(part)] = rows_hash(np.hstack([b.contexts(part), self.fits[:, i : i + len(part)].T.view(np.uint8)]))
-        bucket = np.searchsorted(b.bound, np.searchsorted(b.first, self.at, side="right") - 1, side="right") - 1
-        order = np.lexsort((b.row[self.at], sign, bucket))
-        new = np.concatenate([[True], np.diff(sign[order]) != 0]) if len(order) else np.zeros(0, bool)
-        self.cls = np.empty(len(order), np.int64)
-        self.cls[order] = np.cumsum(new) - 1
-        self.speaker = order[new]  # into at
-        self.bound = np.searchsorted(bucket[self.speaker], np.arange(b.buckets + 1))
+            for sign, own in zip(signs, rows_hash(np.hstack([b.contexts(part), self.fits[:, i : i + len(part)].T.view(np.uint8)]))):
+                sign[i : i + len(part)] = own
+        self.cls, self.speaker = first_of_each(signs, b.row[self.at], bucket)  # speakers: into at
+        self.bound = np.searchsorted(bucket[self.speaker], np.arange(ranges.buckets + 1))
+        self._strings(b, every[hot], ranges.buckets)
+
+    @staticmethod
+    def repeated(b: Block, bits: dict[int, np.ndarray]) -> np.ndarray:
+        wanted = np.concatenate([bits.get(k, np.zeros(hi - lo, bool)) for k, (lo, hi) in enumerate(zip(b.bound[:-1], b.bound[1:]))]) if len(b.first) else np.zeros(0, bool)
+        return np.flatnonzero(np.repeat(wanted, np.diff(np.append(b.first, len(b.key)))))
+
+    def _strings(self, b: Block, hot: np.ndarray, buckets: int) -> None:
+        """place, row: where strings around frequent leads start; string_cls, string_speaker, string_bound as for contexts."""
+        fits, spots = b.fits(hot), np.zeros(len(b.data), bool)
+        for k in range(REACH + 1):
+            spots[(b.place[hot] - REACH + k)[(fits[0] <= k) & (k <= fits[1])]] = True
+        self.place = np.flatnonzero(spots)
+        self.row = np.searchsorted(b.start, self.place, side="right") - 1
+        signs = [np.zeros(len(self.place), np.uint64), np.full(len(self.place), A)]
+        if len(self.place):
+            word = eights(b.data)
+            for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+                signs = [scramble(h * m + word[self.place + k] + m) for h, m in zip(signs, (B, A))]
+        bucket = (signs[0] % np.uint64(buckets)).astype(np.int64)
+        self.string_cls, self.string_speaker = first_of_each(signs, self.row, bucket)
+        self.string_bound = np.searchsorted(bucket[self.string_speaker], np.arange(buckets + 1))
 
 
 def bits_of(table: pa.Table) -> dict[int, np.ndarray]:
     return {r["bucket"]: np.unpackbits(np.frombuffer(stretch(r["payload"]), np.uint8), count=r["n"]).astype(bool) for r in table.to_pylist()}
 
 
-def send_contexts(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    """To each bucket the distinct surroundings of the block's repeated keys, each with its smallest document."""
+def sample_leads(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Leads of the block's repeated suffixes, at even distances in its texts, at most LEADS."""
+    b = Block(docs, buckets)
+    at = Shared.repeated(b, bits_of(replies))
+    at = at[np.argsort(b.place[at])]
+    return pa.table({"lead": pa.array([x.ljust(LEAD, b"\0") for x in b.leads(at[:: max(1, -(-len(at) // LEADS))]).tolist()], pa.binary())})
+
+
+def send_contexts(docs: pa.Table, replies: pa.Table, buckets: int, ranges: Ranges) -> pa.Table:
+    """To each bucket the distinct surroundings of the block's repeated keys in its range, each with its smallest document.
+
+    Messages of single strings have a negative n.
+    """
     block, b = docs.column("block")[0].as_py() if len(docs) else -1, Block(docs, buckets)
-    s = Shared(b, bits_of(replies))
+    s = Shared(b, bits_of(replies), ranges)
     rows = []
     for k, (lo, hi) in enumerate(zip(s.bound[:-1], s.bound[1:])):
         if hi > lo:
             own = s.at[s.speaker[lo:hi]]
             rows.append((block, k, int(hi - lo), squeeze(b.contexts(own), s.fits[:, s.speaker[lo:hi]], b.doc[b.row[own]].astype(np.int64))))
+    for k, (lo, hi) in enumerate(zip(s.string_bound[:-1], s.string_bound[1:])):
+        if hi > lo:
+            own = s.string_speaker[lo:hi]
+            text = np.stack([b.data[s.place[own] + i] for i in range(LENGTH)], axis=1)
+            rows.append((block, k, int(lo - hi), squeeze(text, b.doc[s.row[own]].astype(np.int64))))
     return message(rows)
 
 
-def rolling(rows: np.ndarray):
-    """For each place at which a string starts, two independent 64-bit hashes of the strings there, row by row."""
-    columns = np.ascontiguousarray(rows.T)
-    for_both = [np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)]
-    drop = [np.uint64(pow(int(m), LENGTH, 1 << 64)) for m in (A, B)]
-    for i, column in enumerate(columns):
-        byte = column.astype(np.uint64) + np.uint64(1)
-        for h, m, d in zip(for_both, (A, B), drop):
-            h *= m
-            h += byte
-            if i >= LENGTH:
-                h -= (columns[i - LENGTH].astype(np.uint64) + np.uint64(1)) * d
-        if i >= LENGTH - 1:
-            yield i - LENGTH + 1, scramble(for_both[0]), scramble(for_both[1])
+def least_of(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest doc of each row's group."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+    out = np.empty(len(group), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(group))))
+    return out
 
 
 def earlier(table: pa.Table) -> pa.Table:
     """Back to each block, by context a bit for each place: whether a smaller document has the string that starts there.
 
-    The bucket's strings are sorted by their hash, place by place; one pass over
-    neighbours finds each group's smallest document and checks a second hash.
+    A bucket holds all suffixes whose lead is in its range, so no string has a match across its boundaries.  The
+    suffixes are sorted by multikey quicksort, and what precedes them too, from right to left;
+    neighbours compared give the lengths they share.  Two contexts have the string of `left` bytes before and
+    LENGTH - left from the anchor on in common if they are in one group of either order, so nothing rests on a hash.
     """
-    width, places = 2 * LENGTH - LEAD, LENGTH - LEAD + 1
     raw = [(r["block"], r["bucket"], r["n"], stretch(r["payload"])) for r in table.to_pylist()]
+    whole, single = [r for r in raw if r[2] > 0], [r for r in raw if r[2] < 0]
+    return pa.concat_tables([earlier_contexts(whole) if whole else message([]), earlier_strings(single) if single else message([])])
+
+
+def earlier_contexts(raw: list[tuple]) -> pa.Table:
+    width = REACH + LENGTH
     text = np.concatenate([np.frombuffer(p, np.uint8, n * width).reshape(n, width) for _, _, n, p in raw])
     fits = np.concatenate([np.frombuffer(p, np.int8, 2 * n, n * width).reshape(2, n) for _, _, n, p in raw], axis=1)
     doc = np.concatenate([np.frombuffer(p, np.int64, n, n * (width + 2)) for _, _, n, p in raw])
     # Surroundings that several blocks sent are compared once, as those of their smallest document.
-    sign = rows_hash(np.hstack([text, fits.T.view(np.uint8)]))
-    order = np.lexsort((doc, sign))
-    new = np.concatenate([[True], np.diff(sign[order]) != 0])
-    own = np.empty(len(order), np.int64)
-    own[order] = np.cumsum(new) - 1
-    text, fits, least_doc = text[order[new]], fits[:, order[new]], doc[order[new]]
+    own, speaker = first_of_each(rows_hash(np.hstack([text, fits.T.view(np.uint8)])), doc)
+    inside = fits
+    text, fits, least_doc = text[speaker], fits[:, speaker], doc[speaker]
+    after, before = text[:, REACH:], np.ascontiguousarray(text[:, :REACH][:, ::-1])
+    after_order, before_order = multikey_order(after), multikey_order(before)
+    after_shared, before_shared = common_prefixes(after, after_order), common_prefixes(before, before_order)
     mask = np.zeros(len(text), np.uint32)
-    for k, signs, checks in rolling(text):
+    for k in range(REACH + 1):
         here = np.flatnonzero((fits[0] <= k) & (k <= fits[1]))
-        order = np.argsort(signs[here])
-        rows = here[order]
-        alike = np.diff(signs[rows]) == 0
-        if not alike.any():
+        if not len(here):
             continue
-        if (np.diff(checks[rows])[alike] != 0).any():
-            raise ValueError("two strings share a 64-bit hash; change the multipliers")
-        first = np.flatnonzero(np.concatenate([[True], ~alike]))
-        least = np.repeat(np.minimum.reduceat(least_doc[rows], first), np.diff(np.append(first, len(rows))))
-        mask[rows[least_doc[rows] > least]] |= np.uint32(1 << k)
-    whole = np.zeros(len(text), np.uint32)
-    for k in range(places):
-        whole |= np.where((fits[0] <= k) & (k <= fits[1]), np.uint32(1 << k), np.uint32(0))
-    mask = np.where(doc > least_doc[own], whole[own], mask[own])
+        group = (groups(after_order, after_shared, LEAD + k) << 32) + groups(before_order, before_shared, REACH - k)
+        mask[here[least_doc[here] > least_of(group[here], least_doc[here])]] |= np.uint32(1 << k)
+    places = np.arange(REACH + 1)[:, None]
+    full = np.where((inside[0] <= places) & (places <= inside[1]), np.uint32(1) << places.astype(np.uint32), np.uint32(0)).sum(axis=0, dtype=np.uint32)
+    mask = np.where(doc > least_doc[own], full, mask[own])
     at = np.concatenate([[0], np.cumsum([n for _, _, n, _ in raw])])
     return message([(block, bucket, n, squeeze(mask[a : a + n])) for (block, bucket, n, _), a in zip(raw, at)])
 
 
+def earlier_strings(raw: list[tuple]) -> pa.Table:
+    """As above for single strings: a bit for each."""
+    text = np.concatenate([np.frombuffer(p, np.uint8, -n * LENGTH).reshape(-n, LENGTH) for _, _, n, p in raw])
+    doc = np.concatenate([np.frombuffer(p, np.int64, -n, -n * LENGTH) for _, _, n, p in raw])
+    order = multikey_order(text)
+    found = doc > least_of(groups(order, common_prefixes(text, order), LENGTH), doc)
+    at = np.concatenate([[0], np.cumsum([-n for _, _, n, _ in raw])])
+    return message([(block, bucket, n, squeeze(np.packbits(found[a : a - n]))) for (block, bucket, n, _), a in zip(raw, at)])
+
+
 def covered(b: Block, s: Shared, replies: pa.Table) -> np.ndarray:
     """By byte of the block: whether it is removed."""
-    mask = np.zeros(len(s.speaker), np.uint32)
+    mask, found = np.zeros(len(s.speaker), np.uint32), np.zeros(len(s.string_speaker), bool)
     for r in replies.to_pylist():
-        lo = s.bound[r["bucket"]]
-        mask[lo : lo + r["n"]] = np.frombuffer(stretch(r["payload"]), np.uint32)
+        if r["n"] > 0:
+            lo = s.bound[r["bucket"]]
+            mask[lo : lo + r["n"]] = np.frombuffer(stretch(r["payload"]), np.uint32)
+        else:
+            lo = s.string_bound[r["bucket"]]
+            found[lo : lo - r["n"]] = np.unpackbits(np.frombuffer(stretch(r["payload"]), np.uint8), count=-r["n"]).astype(bool)
     own = mask[s.cls] if len(s.cls) else np.zeros(0, np.uint32)
     doc = b.doc[b.row[s.at]]
     later = doc > doc[s.speaker][s.cls] if len(s.cls) else np.zeros(0, bool)
     starts = np.zeros(len(b.data), bool)
-    for k in range(LENGTH - LEAD + 1):
+    for k in range(REACH + 1):
         hit = ((own >> np.uint32(k)) & np.uint32(1)).astype(bool) | (later & (s.fits[0] <= k) & (k <= s.fits[1]))
-        starts[b.place[s.at[hit]] - (LENGTH - LEAD) + k] = True
+        starts[b.place[s.at[hit]] - REACH + k] = True
+    if len(s.place):
+        doc = b.doc[s.row]
+        starts[s.place[found[s.string_cls] | (doc > doc[s.string_speaker][s.string_cls])]] = True
     begin = np.flatnonzero(starts)
     gone = np.zeros(len(b.data), bool)
     # Strings that touch or overlap are one run.
@@ -305,9 +436,9 @@ def covered(b: Block, s: Shared, replies: pa.Table) -> np.ndarray:
     return gone
 
 
-def strip(docs: pa.Table, replies: pa.Table, masks: pa.Table, buckets: int, texts: bool) -> pa.Table:
+def strip(docs: pa.Table, replies: pa.Table, masks: pa.Table, buckets: int, ranges: Ranges, texts: bool) -> pa.Table:
     b = Block(docs, buckets)
-    gone = covered(b, Shared(b, bits_of(replies)), masks)
+    gone = covered(b, Shared(b, bits_of(replies), ranges), masks)
     rows: list[list] = [[], [], [], [], []]
     for lo, n in zip(b.all_start.tolist(), b.all_size.tolist()):
         own, data = gone[lo : lo + n], b.data[lo : lo + n]
@@ -319,36 +450,54 @@ def strip(docs: pa.Table, replies: pa.Table, masks: pa.Table, buckets: int, text
     return pa.table(out if texts else {k: v for k, v in out.items() if k != "kept"})
 
 
+def labels(spark: SparkSession, n: int) -> DataFrame:
+    """(i, label) for i from 0 to n - 1: distinct labels that a shuffle by label deals evenly to its tasks."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = spark.range(4 * n + 64 * tasks).select(F.col("id").alias("label"), F.pmod(F.hash("id"), F.lit(tasks)).alias("task"))
+    turn = F.row_number().over(Window.partitionBy("task").orderBy("label")) - 1
+    return numbers.select((F.col("task") + F.lit(tasks) * turn.cast("long")).alias("i"), "label").where(F.col("i") < n)
+
+
 def repeated_strings(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with `texts` the remaining bytes, kept) for each row of docs.
 
     A byte goes if a string of 50 bytes around it also starts in a document of
     smaller id.  A null text is empty; documents under 50 bytes lose nothing.  A
     null id counts as larger than all others, and rows of equal ids are one
-    document to each other: neither removes from the other.  An empty table gives an empty result.
-
-    Documents are dealt to blocks and their sampled suffixes, by leading bytes,
-    to buckets.  Blocks send distinct keys, buckets answer which repeat,
-    blocks send the surroundings of these once each, buckets sort the strings and
-    answer which a smaller document has, blocks apply the answer.  A passage that
-    many documents share is one message per block.
+    document to each other: neither removes from the other.  Texts of any length are
+    read as a whole, other columns not at all.  An empty table gives an empty result.
+
+    The suffix array is sparse: of each 50-byte string one suffix is sampled, by the bytes that it leads with, so
+    equal strings sample the same one.  Documents are dealt to blocks.  First, blocks learn which of their
+    suffixes' leads any other document has; the others are done with.  Splitters are sampled from the rest,
+    which is dealt to buckets by ranges of leading bytes, each distinct surrounding once a
+    block; buckets sort by multikey quicksort, compare neighbours and answer which strings a smaller
+    document has; blocks apply the answers.  A lead that would fill a range by itself is dealt by whole strings instead.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     blocks, buckets = max(1, total // BLOCK), max(1, total // 14 // BUCKET)
     missing = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), missing, "text")
+    names = cut(labels(spark, blocks))
+    named = rows.withColumn("i", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).join(F.broadcast(names), "i")
+    dealt = named.select(F.col("label").alias("block"), missing, "text")
     by = lambda df, key: df.groupBy(key)
     keys = by(dealt, "block").applyInArrow(lambda t: send_keys(t, buckets), MESSAGE)
-    repeats = by(keys, "bucket").applyInArrow(repeated_keys, MESSAGE)
+    repeats = cut(by(keys, "bucket").applyInArrow(repeated_keys, MESSAGE))
+    few = [r.label for r in names.where(F.col("i") < min(max(SAMPLED[0], buckets // 512), SAMPLED[1])).collect()]
+    some = by(dealt.where(F.col("block").isin(few)), "block").cogroup(by(repeats.where(F.col("block").isin(few)), "block"))
+    leads = some.applyInArrow(lambda d, r: sample_leads(d, r, buckets), "lead binary").collect()
+    shared = share(spark, Ranges(np.array([bytes(r.lead) for r in leads], f"S{LEAD}"), buckets))
+
     both = by(dealt, "block").cogroup(by(repeats, "block"))
-    contexts = both.applyInArrow(lambda d, r: send_contexts(d, r, buckets), MESSAGE)
+    contexts = both.applyInArrow(lambda d, r: send_contexts(d, r, buckets, taken(shared)), MESSAGE)
     masks = by(contexts, "bucket").applyInArrow(earlier, MESSAGE)
     answers = repeats.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
 
     def apply(d: pa.Table, r: pa.Table) -> pa.Table:
         kind = r.column("kind").to_numpy() if len(r) else np.zeros(0)
-        return strip(d, r.filter(pa.array(kind == 0)), r.filter(pa.array(kind == 1)), buckets, texts)
+        return strip(d, r.filter(pa.array(kind == 0)), r.filter(pa.array(kind == 1)), buckets, taken(shared), texts)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     out = by(dealt, "block").cogroup(by(answers, "block")).applyInArrow(apply, schema)
