@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ LENGTH, LEAD = 50, 24
 #: Bytes of text in a block of documents, about; anchors in a bucket, about.
 BLOCK, BUCKET = 8 << 20, 1 << 20
 PIECE = 1 << 19
-#: Blocks whose suffixes splitters are sampled from, least and most, and suffixes sampled from each; sorted at once by the library.
-SAMPLED, LEADS, LEAF = (16, 256), 8192, 1 << 14
+#: Blocks of sampled documents from which splitters come, least and most, and suffixes sampled from each; rows sorted at once by the library.
+SAMPLED, LEADS, LEAF = (4, 256), 8192, 1 << 14
 REACH = LENGTH - LEAD
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -162,21 +163,18 @@ class Block:
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
         """Bytes from REACH before the anchors to LENGTH after; the sides of a document are 0."""
-        out = np.zeros((len(at), REACH + LENGTH), np.uint8)
         begin = self.place[at] - REACH
         lo = self.start[self.row[at]]
         hi = lo + self.size[self.row[at]]
-        for k in range(out.shape[1]):
-            p = begin + k
-            ok = (p >= lo) & (p < hi)
-            out[ok, k] = self.data[p[ok]]
+        around = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
+        out = sliding_window_view(around, REACH + LENGTH)[begin + REACH]
+        edge, column = np.flatnonzero((begin < lo) | (begin + REACH + LENGTH > hi)), np.arange(REACH + LENGTH)
+        out[edge] *= (column >= (lo - begin)[edge, None]) & (column < (hi - begin)[edge, None])
         return out
 
     def leads(self, at: np.ndarray) -> np.ndarray:
         """The LEAD bytes from each anchor on, as byte strings that compare like them."""
-        out = np.empty((len(at), LEAD), np.uint8)
-        for k in range(LEAD):
-            out[:, k] = self.data[self.place[at] + k]
+        out = sliding_window_view(self.data, LEAD)[self.place[at]] if len(at) else np.zeros((0, LEAD), np.uint8)
         return out.view(f"S{LEAD}").ravel()
 
     def fits(self, at: np.ndarray) -> np.ndarray:
@@ -321,12 +319,13 @@ def bits_of(table: pa.Table) -> dict[int, np.ndarray]:
     return {r["bucket"]: np.unpackbits(np.frombuffer(stretch(r["payload"]), np.uint8), count=r["n"]).astype(bool) for r in table.to_pylist()}
 
 
-def sample_leads(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    """Leads of the block's repeated suffixes, at even distances in its texts, at most LEADS."""
-    b = Block(docs, buckets)
-    at = Shared.repeated(b, bits_of(replies))
-    at = at[np.argsort(b.place[at])]
-    return pa.table({"lead": pa.array([x.ljust(LEAD, b"\0") for x in b.leads(at[:: max(1, -(-len(at) // LEADS))]).tolist()], pa.binary())})
+def sample_leads(docs: pa.Table) -> pa.Table:
+    """Leads of the block's suffixes, at even distances in its texts and those of one surrounding once, at most LEADS."""
+    b = Block(docs, 1)
+    at = np.argsort(b.place)
+    at = at[:: max(1, -(-len(at) // (2 * LEADS)))]
+    _, speaker = first_of_each(rows_hash(b.contexts(at)), b.row[at])
+    return pa.table({"lead": pa.array([x.ljust(LEAD, b"\0") for x in b.leads(at[speaker[:LEADS]]).tolist()], pa.binary())})
 
 
 def send_contexts(docs: pa.Table, replies: pa.Table, buckets: int, ranges: Ranges) -> pa.Table:
@@ -450,6 +449,12 @@ def strip(docs: pa.Table, replies: pa.Table, masks: pa.Table, buckets: int, rang
     return pa.table(out if texts else {k: v for k, v in out.items() if k != "kept"})
 
 
+def even(spark: SparkSession, n: int) -> int:
+    """About n blocks, as many for one task as for another where there are more blocks than tasks."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, n) if n <= tasks else round(n / tasks) * tasks
+
+
 def labels(spark: SparkSession, n: int) -> DataFrame:
     """(i, label) for i from 0 to n - 1: distinct labels that a shuffle by label deals evenly to its tasks."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -469,30 +474,31 @@ def repeated_strings(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     The suffix array is sparse: of each 50-byte string one suffix is sampled, by the bytes that it leads with, so
     equal strings sample the same one.  Documents are dealt to blocks.  First, blocks learn which of their
-    suffixes' leads any other document has; the others are done with.  Splitters are sampled from the rest,
-    which is dealt to buckets by ranges of leading bytes, each distinct surrounding once a
+    suffixes' leads any other document has; the others are done with.  The rest is dealt to
+    buckets by ranges of leading bytes, at splitters sampled beforehand, each distinct surrounding once a
     block; buckets sort by multikey quicksort, compare neighbours and answer which strings a smaller
     document has; blocks apply the answers.  A lead that would fill a range by itself is dealt by whole strings instead.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    blocks, buckets = max(1, total // BLOCK), max(1, total // 14 // BUCKET)
+    blocks, buckets = even(spark, total // BLOCK), max(1, total // 14 // BUCKET)
+    names = cut(labels(spark, max(blocks, buckets)))
     missing = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id")
-    names = cut(labels(spark, blocks))
-    named = rows.withColumn("i", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).join(F.broadcast(names), "i")
-    dealt = named.select(F.col("label").alias("block"), missing, "text")
     by = lambda df, key: df.groupBy(key)
-    keys = by(dealt, "block").applyInArrow(lambda t: send_keys(t, buckets), MESSAGE)
-    repeats = cut(by(keys, "bucket").applyInArrow(repeated_keys, MESSAGE))
-    few = [r.label for r in names.where(F.col("i") < min(max(SAMPLED[0], buckets // 512), SAMPLED[1])).collect()]
-    some = by(dealt.where(F.col("block").isin(few)), "block").cogroup(by(repeats.where(F.col("block").isin(few)), "block"))
-    leads = some.applyInArrow(lambda d, r: sample_leads(d, r, buckets), "lead binary").collect()
+    named = lambda df, key: df.join(F.broadcast(names.withColumnRenamed("i", key)), key)
+
+    few = min(max(SAMPLED[0], buckets // 512), SAMPLED[1])
+    sample = rows.sample(min(1.0, few * BLOCK / max(1, total)), seed=1).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(few)).alias("block"), missing, "text")
+    leads = by(sample, "block").applyInArrow(sample_leads, "lead binary").collect()
     shared = share(spark, Ranges(np.array([bytes(r.lead) for r in leads], f"S{LEAD}"), buckets))
 
+    dealt = named(rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("part"), missing, "text"), "part").select(F.col("label").alias("block"), "doc_id", "text")
+    keys = by(dealt, "block").applyInArrow(lambda t: send_keys(t, buckets), MESSAGE)
+    repeats = by(named(keys, "bucket"), "label").applyInArrow(repeated_keys, MESSAGE)
     both = by(dealt, "block").cogroup(by(repeats, "block"))
     contexts = both.applyInArrow(lambda d, r: send_contexts(d, r, buckets, taken(shared)), MESSAGE)
-    masks = by(contexts, "bucket").applyInArrow(earlier, MESSAGE)
+    masks = by(named(contexts, "bucket"), "label").applyInArrow(earlier, MESSAGE)
     answers = repeats.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
 
     def apply(d: pa.Table, r: pa.Table) -> pa.Table:
