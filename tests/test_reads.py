@@ -102,3 +102,19 @@ def test_random_operations_against_a_dict(spark):
         assert pairs(reads.live(g, start=lo, stop=hi)) == [x for x in sorted(model.items()) if lo <= x[0] < hi]
         split = [g.where(f"seq % 3 = {k}") for k in range(3)]
         assert pairs(reads.live(reads.merge(*split))) == sorted(model.items())
+
+
+def test_first_missing_number(spark):
+    rows = lambda ns: log(spark, [(f"user:{n:08d}", i, 0, "x") for i, n in enumerate(ns)] + [("user:7", 90, 0, "x"), ("user:00000007x", 91, 0, "x"), ("zzz", 92, 0, "x")])
+    find = lambda ns: reads.first_missing(rows(ns)).collect()[0][0]
+    assert [find(ns) for ns in ([], [1, 2], [0, 1, 2, 4], list(range(300)))] == [0, 0, 3, 300]
+    assert reads.first_missing(log(spark, [("user:00000000", 0, 0, "x"), ("user:00000001", 1, 0, "x"), ("user:00000001", 2, 1, None)])).collect()[0][0] == 1
+
+
+def test_ranks_and_repeated_entries(spark):
+    r = random.Random(3)
+    rows = [(f"k{r.randrange(40):02d}", i, 0, "x") for i in range(400)]
+    got = {(x.key, x.seq): x.position for x in reads.ranked(log(spark, rows)).collect()}
+    assert got == {(k, s): i for i, (k, s) in enumerate(sorted(((k, s) for k, s, _, _ in rows), key=lambda x: (x[0], -x[1])), 1)}
+    assert [tuple(x) for x in reads.repeated_entries(log(spark, rows + rows[:1])).collect()] == [(*rows[0][:2], 2)]
+    assert tuple(reads.hit_rate(log(spark, VIEW), spark.createDataFrame([("apple",), ("banana",), ("x",), ("apple",)], "key string")).collect()[0]) == (4, 2, 1, 1)

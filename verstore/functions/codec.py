@@ -11,8 +11,10 @@ FOUND, DELETED, MISSING = 0, 1, 2
 FNV_OFFSET, FNV_PRIME, MASK32 = 2166136261, 16777619, 4294967295
 
 
-def checked(key: Column, seq: Column, kind: Column) -> Column:
-    """key, or an error where key, seq or kind is not allowed."""
+def checked(key: Column, seq: Column, kind: Column, on: bool = True) -> Column:
+    """key, or an error where key, seq or kind is not allowed; off, key as it is."""
+    if not on:
+        return key
     bad = F.when(key.isNull() | (F.octet_length(key) == 0), "empty key").when((seq < 0) | (seq > MAX_SEQ), "sequence number out of range").when(~kind.isin(PUT, DELETE), "unknown kind")
     return F.when(bad.isNull(), key).otherwise(F.raise_error(F.coalesce(bad, F.lit("null sequence number or kind"))).cast("string"))
 
@@ -51,12 +53,6 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(steps, F.lit(FNV_OFFSET).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(MASK32).cast("long")))
 
 
-def bloom_positions(hashed: Column, bits: int, probes: int = 6) -> Column:
-    """The bit positions of a key by double hashing with the hash rotated by 17 as step, modulo 2^32."""
-    step = F.shiftright(hashed, 17) + F.shiftleft(hashed.bitwiseAND(F.lit(2**17 - 1)), 15)
-    return F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: ((hashed + i * step) % F.lit(2**32)) % bits)
-
-
 def uvarint_size(value: Column) -> Column:
     """Bytes of value in base-128 groups."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7).cast("int"))
@@ -67,5 +63,11 @@ def entry_size(key: Column, value: Column) -> Column:
     return (F.octet_length(key) + 8 + F.coalesce(F.octet_length(value), F.lit(0))).cast("long")
 
 
-def segment_name(number: Column, suffix: str) -> Column:
-    return F.concat(F.format_string("%09d", number), F.lit(suffix))
+def file_name(number: Column, suffix: str) -> Column:
+    return F.concat(F.format_string("%09d", number), F.lit(f".{suffix}"))
+
+
+def file_number(name: Column) -> Column:
+    """The number of a file name of nine digits, a dot and three more characters; an error for others."""
+    own = F.regexp_extract(name, r"^([0-9]{9})\..{3}$", 1)
+    return F.when(own != "", own.cast("long")).otherwise(F.raise_error(F.concat(F.lit("unknown file name "), F.coalesce(name, F.lit("null")))).cast("long"))

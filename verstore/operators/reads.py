@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verstore.functions.codec import DELETE, FOUND, MISSING, PUT, kind_name
+from verstore.functions.codec import DELETE, DELETED, FOUND, MISSING, PUT, kind_name
+from verstore.sources.shared import settled
 
 
 def in_range(key: Column, start: str | None, stop: str | None) -> Column:
@@ -47,12 +48,21 @@ def get(log: DataFrame, key: str, snapshot: int | None = None) -> DataFrame:
 
 
 def get_state(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """key, state (0 found, 1 deleted, 2 missing) and value for each row of probes."""
-    last = newest(log)
-    found = probes.select("key").join(last, "key", "left")
+    """key, state (0 found, 1 deleted, 2 missing) and value for each row of probes.
+
+    The log is first cut down to the keys asked for, so only their versions are aggregated.
+    """
+    asked = probes.select("key").distinct()
+    found = probes.select("key").join(newest(log.join(asked, "key", "left_semi")), "key", "left")
     return found.select("key", F.coalesce("kind", F.lit(MISSING)).cast("int").alias("state"), F.when(F.col("kind") == FOUND, F.col("value")).alias("value"))
 
 
+def hit_rate(log: DataFrame, probes: DataFrame) -> DataFrame:
+    """One row: probes, those found, deleted and missing."""
+    n = lambda state, name: F.count(F.when(F.col("state") == state, 1)).alias(name)
+    return get_state(log, probes).agg(F.count(F.lit(1)).alias("probes"), n(FOUND, "hits"), n(DELETED, "deleted"), n(MISSING, "misses"))
+
+
 def get_as_of(log: DataFrame, probes: DataFrame) -> DataFrame:
     """As get_state() for probes (key, as_of_seq), over versions with seq <= as_of_seq; null sees all.
 
@@ -66,24 +76,29 @@ def get_as_of(log: DataFrame, probes: DataFrame) -> DataFrame:
     return rows.select("key", "as_of_seq", F.coalesce("last.kind", F.lit(MISSING)).cast("int").alias("state"), F.when(F.col("last.kind") == FOUND, F.col("last.value")).alias("value"), F.col("last.seq").alias("seq"))
 
 
-def seek(log: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
-    """probe, key: the first live key >= the probe, null past the end.
+def at_or_after(points: DataFrame, probes: DataFrame, value: str) -> DataFrame:
+    """key, `value` for each distinct key of probes: the value of the first of points (key, value) at or after it, null past the end.
 
-    Keys and probes are one ordered run, cut into ranges; a window inside a
-    range finds the next key, and a range's first key answers for the ranges before it.
+    Points and probes are one ordered run, cut into ranges; a window inside a range finds
+    the next point.  Past a range's end, the first point of any later range answers: a running minimum over one row a range.
     """
-    keys = live(log, snapshot).select("key", F.lit(None).cast("string").alias("probe"))
-    asked = probes.select(F.col("key"), F.col("key").alias("probe")).distinct()
-    ranges = max(1, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    run = keys.unionByName(asked).repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id())
-    ahead = Window.partitionBy("part").orderBy(F.col("key").desc(), F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when(F.col("probe").isNull(), F.col("key"))
-    inside = run.withColumn("next", F.last(own, True).over(ahead))
-    # One row per range: bounded by the number of partitions.
-    first = run.where("probe is null").groupBy("part").agg(F.min("key").alias("first"))
-    later = inside.where("probe is not null").select("probe", "next", F.col("part").alias("at"))
-    beyond = later.join(F.broadcast(first), F.col("part") > F.col("at"), "left").groupBy("probe", "next").agg(F.min("first").alias("after"))
-    return beyond.select("probe", F.coalesce("next", "after").alias("key"))
+    spark = points.sparkSession
+    given = points.select("key", F.struct("key", value).alias("point"), F.lit(False).alias("asked"))
+    asked = probes.select("key").distinct().select("key", F.lit(None).cast(given.schema["point"].dataType).alias("point"), F.lit(True).alias("asked"))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    run = settled(given.unionByName(asked).repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id()))
+    ahead = Window.partitionBy("part").orderBy(F.col("key").desc(), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = run.withColumn("next", F.last("point", True).over(ahead)).where("asked")
+    # One row for each range: bounded by the number of partitions, as is what is broadcast.
+    first = run.groupBy("part").agg(F.min("point").alias("first"))
+    later = first.withColumn("beyond", F.min("first").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))).select("part", "beyond")
+    return inside.join(F.broadcast(later), "part").select("key", F.coalesce("next", "beyond")[value].alias(value))
+
+
+def seek(log: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """probe, key: the first live key >= the probe, null past the end."""
+    keys = live(log, snapshot).select("key", F.col("key").alias("found"))
+    return at_or_after(keys, probes, "found").select(F.col("key").alias("probe"), F.col("found").alias("key"))
 
 
 def seek_entry(log: DataFrame, key: str, seq: int) -> DataFrame:
@@ -108,6 +123,41 @@ def labelled(log: DataFrame) -> DataFrame:
     return rows.select("key", "seq", "kind", kind_name(F.col("kind")).alias("kind_name"), label.alias("label"))
 
 
+def ranked(log: DataFrame) -> DataFrame:
+    """key, seq, position: the place of each entry in the order of entries, from 1.
+
+    Keys are cut into ranges; sums over the ranges (one row each), over the keys of a range and inside a key add up.
+    """
+    spark = log.sparkSession
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = log.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "key")
+    keys = settled(keys.withColumn("part", F.spark_partition_id()))
+    starts = keys.groupBy("part").agg(F.sum("n").alias("n")).select("part", ahead("n", Window.orderBy("part")).alias("before"))
+    own = keys.withColumn("own", ahead("n", Window.partitionBy("part").orderBy("key")))
+    start = own.join(F.broadcast(starts), "part").select("key", (F.col("before") + F.col("own")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
+    return log.select("key", "seq").join(start, "key").select("key", "seq", (F.col("start") + inside).alias("position"))
+
+
+def repeated_entries(log: DataFrame) -> DataFrame:
+    """(key, seq, n) of entries that are there more than once, which no log should have."""
+    return log.groupBy("key", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def first_missing(log: DataFrame, prefix: str = "user:", digits: int = 8) -> DataFrame:
+    """first_missing: the smallest number, from 0 on, whose key `prefix` and `digits` digits is not alive.
+
+    It is 0 or follows a number that is alive, so only these are looked at: no range is searched, and none bounds it.
+    """
+    number = F.substring("key", len(prefix) + 1, 18)
+    alive = live(log, start=prefix).where(F.col("key").startswith(prefix) & number.rlike(f"^[0-9]{{{digits},}}$"))
+    named = F.concat(F.lit(prefix), F.lpad(F.col("i").cast("string"), F.greatest(F.lit(digits), F.length(F.col("i").cast("string"))), F.lit("0")))
+    numbers = alive.select("key", number.cast("long").alias("i")).where(named == F.col("key")).select("i")
+    zero = log.sparkSession.range(1).select(F.col("id").alias("i"))
+    return numbers.select((F.col("i") + 1).alias("i")).unionByName(zero).join(numbers, "i", "left_anti").agg(F.min("i").alias("first_missing"))
+
+
 def snapshot_diff(log: DataFrame, older: int, newer: int) -> DataFrame:
     """Keys whose live value differs between two snapshots."""
     a, b = (live(log, s).select("key", F.col("value").alias(n)) for s, n in ((older, "was"), (newer, "now")))

@@ -1,13 +1,17 @@
 """Maintenance as queries: flushing, compaction, recovery of the catalogue and of logs."""
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from verstore.functions.codec import PUT, entry_size
-from verstore.operators.reads import live
+from verstore.operators.reads import at_or_after, live
+from verstore.sources.shared import settled
 
 
 def compacted(log: DataFrame) -> DataFrame:
@@ -34,35 +38,89 @@ def resurrected(log: DataFrame) -> DataFrame:
 
 
 def running_size(log: DataFrame, width: int = 4096) -> DataFrame:
-    """seq and the bytes of all entries up to it, by sums of seq ranges: no task holds the log."""
+    """seq and the bytes of all entries up to it, by sums of seq ranges and of ranges of ranges: no task holds the log.
+
+    The only window over everything has one row per width * width sequence numbers.
+    """
     sized = log.select("seq", entry_size(F.col("key"), F.col("value")).alias("size"), F.floor(F.col("seq") / width).alias("cell"))
-    cells = sized.groupBy("cell").agg(F.sum("size").alias("s"))
-    # One row per `width` sequence numbers.
-    cells = cells.select("cell", (F.sum("s").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    before = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = sized.groupBy("cell").agg(F.sum("size").alias("s")).withColumn("block", F.floor(F.col("cell") / width))
+    blocks = cells.groupBy("block").agg(F.sum("s").alias("s")).select("block", before(Window.orderBy("block")).alias("far"))
+    cells = cells.withColumn("near", before(Window.partitionBy("block").orderBy("cell"))).join(blocks, "block").select("cell", (F.col("far") + F.col("near")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     return sized.join(cells, "cell").select("seq", (F.col("before") + inside).alias("running_bytes"))
 
 
+def _range_map(sizes: np.ndarray, full: int) -> list[tuple[int, int, int]]:
+    """What a range of rows does to the groups: (upto, last, closed) in ascending order of upto.
+
+    A group that reaches `full` at d bytes from the range's start closes at the first row whose running sum is d or
+    more; the first entry with upto >= d tells where the last group of the range then closes and how
+    many do.  Later starts close no earlier, so few answers differ; beyond the last entry no group closes.
+    """
+    ends = np.cumsum(sizes)
+    follow = np.searchsorted(ends, ends + full)
+    n = len(ends)
+    jump, last, closed = np.append(follow, n), np.append(np.arange(n), n), np.append(np.ones(n, np.int64), 0)
+    while (jump < n).any():  # twice as far at a time
+        closed, last = closed + closed[jump], np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    able = int(np.searchsorted(ends, full)) + 1  # a group is open for `full` bytes at most
+    key = np.stack([ends[last[:n][:able]], closed[:n][:able]]) if n else np.zeros((2, 0), np.int64)
+    keep = np.flatnonzero(np.append((np.diff(key, axis=1) != 0).any(axis=0), True)) if n else np.zeros(0, int)
+    return [(int(ends[i]), int(key[0, i]), int(key[1, i])) for i in keep]
+
+
 def greedy_groups(rows: DataFrame, order: list, size: str, full: int) -> DataFrame:
     """rows with generation: a group closes once its sum of size reaches `full`, checked before the next row.
 
-    The rule is sequential, as each group starts where the last one overshot:
-    one task streams the ordered rows in batches and keeps two numbers.
+    Each group starts where the last one overshot, yet ranges of the ordered rows need not
+    wait for each other: each works out where its last group closes for every state that it may be entered
+    in, the driver strings these answers together (a few numbers a range), and all ranges number their rows.
     """
-    schema = rows.schema
+    spark, schema = rows.sparkSession, rows.schema
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    staged = settled(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()))
 
-    def run(batches):
-        total, generation = 0, 0
+    def survey(batches):
+        number, sizes = None, []
         for batch in batches:
-            out = np.empty(batch.num_rows, np.int64)
-            for i, s in enumerate(batch.column(size).to_numpy()):
-                if total >= full:
-                    total, generation = 0, generation + 1
-                total += int(s)
-                out[i] = generation
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "generation"])
-
-    return rows.orderBy(*order).coalesce(1).mapInArrow(run, schema.add("generation", "long"))
+            if batch.num_rows:
+                number = batch.column("__range")[0].as_py()
+                sizes.append(batch.column(size).to_numpy().astype(np.int64))
+        if number is not None:
+            own = np.concatenate(sizes)
+            steps = _range_map(own, full)
+            columns = [pa.array([number], pa.int32()), pa.array([int(own.sum())], pa.int64()), pa.array([[list(x) for x in steps]], pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "total", "steps"])
+
+    found = staged.select("__range", size).mapInArrow(survey, "range int, total long, steps array<array<long>>").orderBy("range").collect()
+    due, generation, state = full, 0, {}
+    for r in found:
+        state[r.range] = (due, generation)
+        step = bisect_left(r.steps, due, key=lambda x: x[0])
+        if step < len(r.steps):
+            due, generation = r.steps[step][1] + full, generation + r.steps[step][2]
+        due -= r.total
+
+    def number(batches):
+        at = due = generation = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                (due, generation), at = state[batch.column("__range")[0].as_py()], 0
+            sums = at + np.cumsum(batch.column(size).to_numpy().astype(np.int64))
+            ends, i = [], int(np.searchsorted(sums, due))
+            while i < len(sums):
+                ends.append(sums[i])
+                due = int(sums[i]) + full
+                i = int(np.searchsorted(sums, due))
+            out = generation + np.searchsorted(np.array(ends, np.int64), sums)
+            generation, at = generation + len(ends), int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.astype(np.int64))], names=[*batch.schema.names[:-1], "generation"])
+
+    return staged.mapInArrow(number, StructType([*schema.fields, StructField("generation", LongType())]))
 
 
 def flush_plan(log: DataFrame, threshold: int) -> DataFrame:
@@ -96,7 +154,8 @@ def block_layout(entries: DataFrame, block: int = 4096) -> DataFrame:
 
 def block_of(layout: DataFrame, probes: DataFrame) -> DataFrame:
     """The first block whose last key is at or after the probe."""
-    return probes.join(F.broadcast(layout.select("block", "last_key")), F.col("last_key") >= F.col("key"), "left").groupBy("key").agg(F.min("block").alias("block"))
+    lasts = layout.groupBy(F.col("last_key").alias("key")).agg(F.min("block").alias("block"))
+    return at_or_after(lasts, probes, "block")
 
 
 def fold_edits(edits: DataFrame) -> DataFrame:

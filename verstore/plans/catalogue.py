@@ -6,13 +6,13 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.functions import codec
+from verstore.functions import bloom, codec, display
 from verstore.operators import reads, upkeep
 from verstore.sources.oplogs import events_log, filled, orders_log, turns_log
 from verstore.streaming.latest import drain
 
 SNAPSHOT, OLDER, START, STOP, FULL, BLOCK = 5000, 2500, "user:00000010", "user:00000050", 16384, 4096
-BITS, PROBES = 20000, 4000
+PROBES = 4000
 
 LOG = """WITH log AS (SELECT 'user:' || lpad(user_id::VARCHAR, 8, '0') AS key, event_id AS seq, (event_type = 'error')::INT AS kind,
   CASE WHEN event_type <> 'error' THEN event_type || ':' || coalesce(props, '') END AS value FROM events),
@@ -38,19 +38,6 @@ def _sources(log: DataFrame) -> list[DataFrame]:
     return [log.where(F.col("seq") % 3 == k) for k in range(3)]
 
 
-def _ranked(log: DataFrame, prefix: int = 10) -> DataFrame:
-    """key, seq, position: a rank in the whole order without a sort of it all in one task.
-
-    Sums by key prefix (one row each), then over the keys of a prefix, then inside a key.
-    """
-    ahead = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    keys = log.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.substring("key", 1, prefix))
-    cells = keys.groupBy("cell").agg(F.sum("n").alias("s")).select("cell", ahead("s", "cell").alias("before"))
-    start = keys.withColumn("own", ahead("n", "cell", "key")).join(cells, "cell").select("key", (F.col("before") + F.col("own")).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    return log.select("key", "seq").join(start, "key").select("key", "seq", (F.col("start") + inside).alias("position"))
-
-
 def _edits(log: DataFrame) -> DataFrame:
     """Made-up edits: each hundredth entry adds a file, and from the third on deletes the one two before."""
     k = F.floor(F.col("seq") / 100)
@@ -80,31 +67,36 @@ def _codec(log: DataFrame) -> DataFrame:
     return i.select("internal_key", codec.user_key(F.col("internal_key")).alias("key"), seq.alias("seq"), kind.alias("kind"), codec.uvarint_size(F.col("seq")).alias("seq_varint_bytes"))
 
 
-def _bloom(log: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(key, position) of the filter's keys and of keys that are not in it."""
-    spots = lambda df: df.select("key", F.explode(codec.bloom_positions(codec.fnv1a(F.col("key")), BITS)).alias("position"))
-    return spots(log.select("key").distinct()), spots(spark.range(PROBES).select(F.format_string("out:%08d", "id").alias("key")))
+def _bloom_hits(keys: DataFrame, asked: DataFrame) -> DataFrame:
+    """The filter's size and how many of the keys asked for it lets pass."""
+    own = bloom.build(keys)
+    hits = bloom.may_contain(own, asked).agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("maybe"), 1)).alias("maybe"))
+    return hits.select(F.lit(own.bits).cast("long").alias("bits"), F.lit(own.probes).alias("probes"), "asked", "maybe")
 
 
-def _passing(probes: DataFrame, members: DataFrame) -> DataFrame:
-    bits = members.select("position").distinct()
-    hit = probes.join(bits.withColumn("on", F.lit(1)), "position", "left")
-    return hit.groupBy("key").agg(F.min(F.coalesce("on", F.lit(0))).alias("maybe"))
+def _false_positives(log: DataFrame, spark: SparkSession) -> DataFrame:
+    strangers = spark.range(PROBES * 10).select(F.format_string("out:%08d", "id").alias("key"))
+    return _bloom_hits(log, strangers).withColumn("below_two_percent", F.col("maybe") < 0.02 * F.col("asked"))
 
 
-def _false_negatives(log: DataFrame, spark: SparkSession) -> DataFrame:
-    own, _ = _bloom(log, spark)
-    return _passing(own, own).agg(F.sum(1 - F.col("maybe")).cast("long").alias("false_negatives"), F.count(F.lit(1)).alias("keys"))
+#: 32-bit FNV-1a of the column key, and the same filter in SQL: one row (bits) and its set positions.
+FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+BLOOM = f"""members AS (SELECT DISTINCT key FROM log), shape AS (SELECT ((greatest(count(*) * 10, 64) + 7) // 8 * 8)::BIGINT AS bits FROM members),
+hashed AS (SELECT 'own' AS kind, key, {FNV} AS h FROM members UNION ALL SELECT 'other', key, {FNV} FROM (SELECT 'out:' || lpad(i::VARCHAR, 8, '0') AS key FROM range({PROBES * 10}) t(i))),
+spots AS (SELECT kind, key, ((h + i * ((h >> 17) + ((h & 131071) << 15))) % 4294967296) % bits AS position FROM hashed, shape, range(6) t(i)),
+lit AS (SELECT DISTINCT position FROM spots WHERE kind = 'own'),
+judged AS (SELECT kind, key, bool_and(l.position IS NOT NULL) AS maybe FROM spots LEFT JOIN lit l USING (position) GROUP BY kind, key),
+passed AS (SELECT kind, count(*) AS asked, count(*) FILTER (maybe) AS maybe FROM judged GROUP BY kind)"""
 
 
-def _false_positives(log: DataFrame, spark: SparkSession) -> DataFrame:
-    own, other = _bloom(log, spark)
-    return _passing(other, own).agg((F.sum("maybe") / F.count(F.lit(1)) < 0.02).alias("below_two_percent"), F.count(F.lit(1)).alias("probes"))
+def _shown(log: DataFrame) -> DataFrame:
+    n = codec.entry_size(F.col("key"), F.col("value"))
+    return log.select("key", "seq", display.preview(F.coalesce("value", F.lit(""))).alias("shown"), display.size(n * F.col("seq")).alias("size"), display.bar(n / 200.0, 20).alias("bar"))
 
 
-def _first_missing(spark: SparkSession, log: DataFrame) -> DataFrame:
-    """The smallest number whose user key is not alive."""
-    return spark.range(100_000).select("id", F.format_string("user:%08d", "id").alias("key")).join(reads.live(log), "key", "left_anti").agg(F.min("id").alias("first_missing"))
+def _names(log: DataFrame) -> DataFrame:
+    name = codec.file_name(F.col("seq"), "sst")
+    return log.select(name.alias("name"), codec.file_number(name).alias("number"))
 
 
 def _overlay(log: DataFrame) -> DataFrame:
@@ -168,7 +160,7 @@ TABLE = {
         lambda s, g, d: reads.labelled(g),
         f"{LOG} SELECT key, seq, kind, CASE kind WHEN 0 THEN 'put' ELSE 'delete' END AS kind_name, CASE WHEN kind = 1 THEN 'tombstone' WHEN rn > 1 THEN 'shadowed' ELSE 'current' END AS label FROM ranked",
     ),
-    "internal_key_rank": (lambda s, g, d: _ranked(g), f"{LOG} SELECT key, seq, row_number() OVER (ORDER BY key, seq DESC) AS position FROM log"),
+    "internal_key_rank": (lambda s, g, d: reads.ranked(g), f"{LOG} SELECT key, seq, row_number() OVER (ORDER BY key, seq DESC) AS position FROM log"),
     "merge_sources": (lambda s, g, d: reads.merge(*_sources(g)), f"{LOG} SELECT * FROM log"),
     "resurrected_keys": (lambda s, g, d: upkeep.resurrected(g), f"{LOG} SELECT key, seq FROM (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY seq) AS was FROM log) WHERE was = 1 AND kind = 0"),
     "version_debt": (
@@ -209,17 +201,40 @@ TABLE = {
         lambda s, g, d: _codec(g),
         f"{LOG}, x AS (SELECT *, lpad(printf('%X', seq * 256 + kind), 16, '0') AS t FROM log) SELECT hex(encode(key)) || substr(t, 15, 2) || substr(t, 13, 2) || substr(t, 11, 2) || substr(t, 9, 2) || substr(t, 7, 2) || substr(t, 5, 2) || substr(t, 3, 2) || substr(t, 1, 2) AS internal_key, key, seq, kind, greatest(1, ceil(length(bin(seq)) / 7.0))::INT AS seq_varint_bytes FROM x",
     ),
-    "fnv1a_hash": (
-        lambda s, g, d: g.select("key").distinct().select("key", codec.fnv1a(F.col("key")).alias("hash")),
-        f"{LOG} SELECT key, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS hash FROM (SELECT DISTINCT key FROM log)",
+    "fnv1a_hash": (lambda s, g, d: g.select("key").distinct().select("key", codec.fnv1a(F.col("key")).alias("hash")), f"{LOG} SELECT key, {FNV} AS hash FROM (SELECT DISTINCT key FROM log)"),
+    "bloom_false_negatives": (lambda s, g, d: _bloom_hits(g, g), f"{LOG}, {BLOOM} SELECT bits, 6::INT AS probes, asked, maybe FROM passed, shape WHERE kind = 'own'"),
+    "bloom_fp_rate": (lambda s, g, d: _false_positives(g, s), f"{LOG}, {BLOOM} SELECT bits, 6::INT AS probes, asked, maybe, maybe < 0.02 * asked AS below_two_percent FROM passed, shape WHERE kind = 'other'"),
+    "bloom_positions": (
+        lambda s, g, d: bloom.build(g).set.withColumn("position", F.col("position").cast("long")),
+        f"{LOG}, {BLOOM} SELECT position FROM lit",
+    ),
+    "value_preview": (
+        lambda s, g, d: _shown(g),
+        f"""{LOG}, n AS (SELECT *, coalesce(value, '') AS v, size * seq AS b, floor(least(size / 200.0::DOUBLE, 1.0) * 20)::INT AS w FROM sized)
+        SELECT key, seq, '"' || replace(replace(left(v, 24), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || CASE WHEN length(v) > 24 THEN '"…' ELSE '"' END AS shown,
+        CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE b::VARCHAR || ' B' END AS size, repeat('█', w) || repeat('░', 20 - w) AS bar FROM n""",
+    ),
+    "file_numbers": (lambda s, g, d: _names(g), f"{LOG} SELECT lpad(seq::VARCHAR, 9, '0') || '.sst' AS name, seq AS number FROM log"),
+    "repeated_entries": (
+        lambda s, g, d: reads.repeated_entries(g.unionByName(g.where(F.col("seq") % 7 == 0))),
+        f"{LOG} SELECT key, seq, count(*) AS n FROM (SELECT key, seq FROM log UNION ALL SELECT key, seq FROM log WHERE seq % 7 = 0) GROUP BY key, seq HAVING count(*) > 1",
+    ),
+    "get_mem_state": (
+        lambda s, g, d: reads.get_state(g.where(F.col("seq") >= SNAPSHOT), _probes(s)),
+        f"{LOG}, {PROBE}, mem AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM log WHERE seq >= {SNAPSHOT}) SELECT p.key, coalesce(m.kind, 2)::INT AS state, CASE WHEN m.kind = 0 THEN m.value END AS value FROM probe p LEFT JOIN mem m ON p.key = m.key AND m.n = 1",
+    ),
+    "get_hit_rate": (
+        lambda s, g, d: reads.hit_rate(g, _probes(s)),
+        f"{LOG}, {PROBE} SELECT count(*) AS probes, count(*) FILTER (kind = 0) AS hits, count(*) FILTER (kind = 1) AS deleted, count(*) FILTER (kind IS NULL) AS misses FROM probe p LEFT JOIN newest n ON p.key = n.key",
     ),
-    "bloom_false_negatives": (lambda s, g, d: _false_negatives(g, s), f"{LOG} SELECT 0::BIGINT AS false_negatives, count(DISTINCT key) AS keys FROM log"),
-    "bloom_fp_rate": (lambda s, g, d: _false_positives(g, s), f"SELECT TRUE AS below_two_percent, {PROBES}::BIGINT AS probes"),
     "fill_keys": (
         lambda s, g, d: filled(s, 10_000),
-        "SELECT 'user:' || lpad(i::VARCHAR, 8, '0') AS key, i AS seq, 0::INT AS kind, md5(i::VARCHAR) AS value FROM range(10000) t(i)",
+        f"SELECT 'user:' || lpad(i::VARCHAR, 8, '0') AS key, i AS seq, 0::INT AS kind, left(translate(md5(i || ':0') || md5(i || ':1') || md5(i || ':2') || md5(i || ':3'), '0123456789', 'ghijklmnop'), 100) AS value FROM range(10000) t(i)",
+    ),
+    "probe_key_max": (
+        lambda s, g, d: reads.first_missing(g),
+        f"{LOG} SELECT min(i) AS first_missing FROM range(0, (SELECT count(*) + 1 FROM live)) t(i) WHERE 'user:' || lpad(i::VARCHAR, 8, '0') NOT IN (SELECT key FROM live)",
     ),
-    "probe_key_max": (lambda s, g, d: _first_missing(s, g), f"{LOG} SELECT min(i) AS first_missing FROM range(100000) t(i) WHERE 'user:' || lpad(i::VARCHAR, 8, '0') NOT IN (SELECT key FROM live)"),
     "count_live": (lambda s, g, d: reads.live(g).agg(F.count(F.lit(1)).alias("live_keys"), F.greatest(F.count(F.lit(1)) - 30, F.lit(0)).alias("beyond_limit")), f"{LOG} SELECT count(*) AS live_keys, greatest(count(*) - 30, 0) AS beyond_limit FROM live"),
     "stream_latest": (lambda s, g, d: _stream(s, d), f"{LOG} SELECT * FROM live"),
 }

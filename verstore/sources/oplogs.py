@@ -1,7 +1,7 @@
 """Operation logs (key, seq, kind, value) from tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,13 @@ def turns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.format_string("conv:%08d", "conv_id").alias("key"), F.col("turn").alias("seq"), F.lit(0).alias("kind"), F.col("text").alias("value"))
 
 
-def filled(spark: SparkSession, n: int) -> DataFrame:
-    """n puts of user:%08d with a value that depends on the number only."""
-    i = spark.range(n)
-    return i.select(F.format_string("user:%08d", "id").alias("key"), F.col("id").alias("seq"), F.lit(0).alias("kind"), F.md5(F.col("id").cast("string")).alias("value"))
+def letters(number: Column, length: int = 100) -> Column:
+    """Small letters that depend on the number only: hex digits of hashes, with letters in place of 0 to 9."""
+    digits = F.concat(*[F.md5(F.concat(number.cast("string"), F.lit(f":{k}"))) for k in range(-(-length // 32))])
+    return F.left(F.translate(digits, "0123456789", "ghijklmnop"), F.lit(length))
+
+
+def filled(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
+    """n puts of user:%08d from `start` on, each with a value of 100 letters that depends on the number only."""
+    i = spark.range(start, start + n)
+    return i.select(F.format_string("user:%08d", "id").alias("key"), F.col("id").alias("seq"), F.lit(0).alias("kind"), letters(F.col("id")).alias("value"))
