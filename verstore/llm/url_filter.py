@@ -40,6 +40,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     sums form before the shuffle, so a much-linked host is one row per task.
     Scores grow from the seeds' own share, so `last`, the score of the round before, is less
     wherever mass or a new host still arrives; rounds go on until none adds more than `tolerance` of a host's score.
+    Hosts without links give their mass back to the seeds: that scales all scores of a kind by one number, so they are
+    summed as if it were lost and then brought to a sum of 1.
     """
     own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
     scores = own.withColumn("last", F.lit(0.0))
@@ -49,7 +51,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             scores = sent.unionByName(own.withColumn("last", F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
         scores = cut(scores)
         if scores.where(F.col("score") - F.col("last") > tolerance * F.col("score")).isEmpty():
-            return scores.drop("last")
+            sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))  # a row a kind
+            return scores.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("all")).alias("score"))
 
 
 def host_scores(judged: DataFrame) -> DataFrame:
@@ -120,7 +123,8 @@ links AS (SELECT src, dst, count(*) AS n FROM x WHERE dst <> '' AND src <> dst G
 both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
 edges AS (SELECT kind, src, dst, n::DOUBLE / (sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM both_ways),
 s0 AS (SELECT kind, host, seed AS score FROM seeds),{",".join(map(_round, range(1, ROUNDS + 1)))},
-z AS (SELECT host, sum(CASE kind WHEN 'trust' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS distrust FROM s{ROUNDS} GROUP BY host)
+y AS (SELECT kind, host, score / (sum(score) OVER (PARTITION BY kind))::DOUBLE AS score FROM s{ROUNDS}),
+z AS (SELECT host, sum(CASE kind WHEN 'trust' THEN score ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) AS distrust FROM y GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > 0 AND distrust >= {LIMIT}::DOUBLE * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN z USING (host)
 """
