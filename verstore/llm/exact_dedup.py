@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from verstore.llm.common import only, read, with_rows
 
+#: Copies beyond which a text's group is large, at least; large groups are broadcast, MANY at most.
+LARGE, MANY = 1000, 1000
+
 
 def content_classes(keyed: DataFrame) -> DataFrame:
     """One row per distinct text: h, sha, keep_id, group_size.
@@ -32,13 +35,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the largest id of equal texts is kept.  A null text equals the
-    empty one.  Rows with one id and one text are the same document: all are
+    empty one.  Texts of any length are compared in full.  Rows with one id and one text are the same document: all are
     marked kept.  A null id never is the largest; a group of null ids only has
     keep_id null and its rows are kept.  Other columns are not read.  An empty
     table gives an empty result.
     """
     keyed = keyed_rows(docs, id_col, text_col, hash_bits)
-    rows = keyed.select("id", "h", "sha").join(content_classes(keyed), ["h", "sha"])
+    classes = content_classes(keyed)
+    # A large group's rows would meet in one task below: they get its class from a broadcast, and go anywhere.
+    large = classes.where(F.col("group_size") > max(LARGE, docs.count() // MANY)).select("h", "sha", F.struct("keep_id", "group_size").alias("known"))
+    rows = keyed.select("id", "h", "sha").join(F.broadcast(large), ["h", "sha"], "left")
+    key = F.when(F.col("known").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    found = classes.select(F.col("sha").alias("of"), F.struct("keep_id", "group_size").alias("found"))
+    rows = rows.withColumn("of", key).join(found, "of", "left").select("id", "sha", F.coalesce("known", "found").alias("of")).select("id", "sha", "of.*")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
