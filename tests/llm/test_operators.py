@@ -62,6 +62,17 @@ def test_exact(spark, docs, bits):
     assert exact_dedup.exact_dedup(docs).count() == len(TEXTS)
     assert sorted(r.doc_id or 0 for r in exact_dedup.drop_copies(docs).collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
     assert exact_dedup.drop_copies(docs).columns == docs.columns
+    assert exact_dedup.exact_dedup(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("large", [1, 1000])
+def test_large_groups_of_copies(spark, monkeypatch, large):
+    """A third of all rows are one text of 200,000 characters; with either way of telling rows their class."""
+    monkeypatch.setattr(exact_dedup, "LARGE", large)
+    rows = [(i, "long " * 40_000 if i % 3 == 0 else f"text {i // 4}") for i in range(60)]
+    want = {i: max(j for j, o in rows if o == t) for i, t in rows}
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert {i: got[i].keep_id for i in want} == want and all(got[i].group_size == sum(o == t for _, o in rows) for i, t in rows)
 
 
 # -- near duplicates
@@ -329,6 +340,30 @@ def test_lexicon_takes_all_that_is_sure(spark):
     assert len(own) == 1500 and stems == near == ["reeuxa"] and len(fuzzy) == 1502
 
 
+def test_weights_are_the_best_ones():
+    g = np.random.default_rng(2)
+    x = g.normal(size=(400, 4))
+    y = (x @ [1, -2, 0, 0.5] + g.normal(size=400) > 0.3).astype(float)
+    w = toxicity.logistic(x, y, y.mean())
+    loss = lambda w: np.log1p(np.exp(-(2 * y - 1) * (w[0] + x @ w[1:]))).sum() + 0.05 * (w[1:] ** 2).sum()
+    assert all(loss(w) < loss(w + 0.01 * d) for d in g.normal(size=(200, 5)))
+
+
+def test_lexicon_against_a_count(spark):
+    """A term passes if toxic documents are 0.8 of its own and so many more than chance as one of a hundred samples would show."""
+    r = random.Random(3)
+    rows = [(0, f"w{i}", r.randint(0, 30), r.choice([0, 0, r.randint(0, 10)])) for i in range(400)]
+    rows = [x for x in rows if x[2] + x[3]]
+    want = set()
+    for _, t, bad, good in rows:
+        p = bad / (bad + good)
+        if p >= 0.8:
+            far = p * np.log(p / 0.3) + ((1 - p) * np.log((1 - p) / 0.7) if p < 1 else 0)
+            want |= {t} if (bad + good) * far >= np.log(100 * len(rows)) else set()
+    own, stems, fuzzy, near = toxicity.lexicon(spark.createDataFrame(rows, "kind int, term string, bad long, good long"), 0.3)
+    assert set(own) == want and 0 < len(want) < len(rows) and not stems and not fuzzy
+
+
 def test_quotation_is_told_apart():
     machine = toxicity.Automaton(["idiot"], [], ["idiot"])
     own, quoted, reported = toxicity.features(machine, pa.array(["you are an idiot", 'he said "you idiot you"', 'the word "idiot" is rude']))
@@ -396,7 +431,35 @@ def test_trust_reaches_the_end_of_a_long_chain(spark):
     chain = [(i, f"https://h{i}.org/" if i else "https://x.net/fr/", f'<a href="http://h{i - 1}.org/">' if i > 1 else '<a href="http://x.net/">' if i else None) for i in range(20)]
     got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(chain, "page_id long, url string, html string")).collect()}
     assert all(got[i].verdict == "block" for i in range(20))
-    assert all(abs(got[i].distrust / (0.15 * 0.85**i) - 1) < 1e-6 for i in range(20))
+    assert all(abs(got[i].distrust / got[0].distrust / 0.85**i - 1) < 1e-6 for i in range(20)) and abs(sum(got[i].distrust for i in range(20)) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scores_against_a_dense_solution(spark, seed):
+    """Personalised PageRank by solving (I - 0.85 P) x = 0.15 s, rows of hosts without links pointing to the seeds."""
+    r, names = random.Random(seed), [f"h{i}.org" for i in range(12)]
+    rows = [(i, f"https://{r.choice([*names, 'a.com', 'x.net'])}/{r.choice(['fr/', 'q'])}", "".join(f'<a href="http://{h}/">' for h in r.sample([*names, "a.com", "x.net", "y.net", "only.linked"], r.randint(0, 3)))) for i in range(60)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    host = {x.page_id: x.host for x in got}
+    hosts = sorted(set(host.values()) | {h.split("/")[0] for _, _, html in rows for h in html.split("http://")[1:]})
+    place, n = {h: k for k, h in enumerate(hosts)}, len(hosts)
+    links = np.zeros((n, n))
+    for i, _, html in rows:
+        for h in (h.split("/")[0] for h in html.split("http://")[1:]):
+            if h != host[i]:
+                links[place[host[i]], place[h]] += 1
+    want = {}
+    for kind, verdict, table in (("trust", "allow", links), ("distrust", "block", links.T)):
+        seeds = np.zeros(n)
+        for x in got:
+            if x.rule and x.verdict == verdict:
+                seeds[place[x.host]] += 1
+        seeds /= seeds.sum()
+        out = table.sum(axis=1, keepdims=True)
+        step = np.where(out > 0, table / np.maximum(out, 1), seeds)
+        want[kind] = np.linalg.solve(np.eye(n) - 0.85 * step.T, 0.15 * seeds)
+    for x in got:
+        assert abs(x.trust - want["trust"][place[x.host]]) < 1e-4 and abs(x.distrust - want["distrust"][place[x.host]]) < 1e-4
 
 
 # -- languages
@@ -477,11 +540,21 @@ def test_language_on_held_out_rows(spark, docs):
 # -- tokens
 def test_spliced_counts_equal_whole_counts():
     sp = token_counts.load()
-    assert token_counts.splits_at_spaces(sp)
-    texts = ["the cat  sat on 日本 mat \n" * 60, "a" * 700, " " * 500, "é日本語" * 150, " lead", "", "x <s> y </s> " * 40]
+    pairs = token_counts.joined_pairs(sp)
+    texts = ["the cat  sat on 日本 mat \n" * 60, "a" * 700, " " * 500, "é日本語" * 150, " lead", "", "x <s> y </s> " * 40, "ab\n" * 300, "ab\t\r\ncd" * 90, "".join(chr(0x4E00 + 7 * i) for i in range(400)), "\x00▁▁a▁" * 80, "😀e\u0301" * 90]
+    r = random.Random(1)
+    texts += ["".join(r.choice("ab  \n.,é日語▁ABthe1") for _ in range(400)) for _ in range(20)]
     for t in texts:
         for chunk, overlap in ((40, 4), (100, 16), (7, 1)):
-            assert token_counts.count_tokens(sp, t, chunk, overlap) == len(sp.encode(t))
+            assert token_counts.count_tokens(sp, pairs, t, chunk, overlap) == len(sp.encode(t))
+
+
+def test_texts_without_spaces_are_spliced_too():
+    sp = token_counts.load()
+    seen = []
+    spy = type("Spy", (), {"encode": lambda self, t, **k: (seen.append(len(t)), sp.encode(t, **k))[1]})()
+    text = "ab\n" * 30_000
+    assert token_counts.count_tokens(spy, token_counts.joined_pairs(sp), text, 1000, 50) == len(sp.encode(text)) and max(seen) <= 1100
 
 
 def test_token_counts(spark, docs, nothing):
@@ -533,6 +606,21 @@ def test_joined_passes_over_what_is_joined():
     assert len(set(joined.label.tolist())) == 3
 
 
+def test_shards_far_above_the_exhaustive_size(spark):
+    """600 vectors a shard, so graphs are searched; against all products."""
+    g = np.random.default_rng(11)
+    base = g.normal(size=(900, 24))
+    v = np.vstack([base, base[:250] + 0.04 * g.normal(size=(250, 24)), base[300:310].repeat(5, 0) + 0.03 * g.normal(size=(50, 24))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T) >= 0.95
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(table, shards=2).collect()}
+    links = np.array([got[i].n_links for i in range(len(v))])
+    assert (links <= near.sum(1) - 1).all() and links.sum() >= 0.99 * (near.sum() - len(v))
+    want = components([(a, b) for a, b in zip(*np.nonzero(near)) if a < b], range(len(v)))
+    assert sum(got[i].component_id == want[i] for i in want) >= 0.99 * len(v)
+
+
 def test_graph_recall():
     g = np.random.default_rng(1)
     x = g.normal(size=(3000, 32))
@@ -556,6 +644,25 @@ def test_patterns_hold_every_piece_once():
     assert placed == Counter(histogram)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_against_piece_by_piece_packing(seed):
+    """Longest pieces first, each to the pack with the most room, if it fits there; what fits nowhere opens packs once its length is dealt."""
+    r = random.Random(seed)
+    histogram = {n: r.randint(1, 20) for n in r.sample(range(1, 65), 25)}
+    rooms: list[int] = []
+    for length in sorted(histogram, reverse=True):
+        opened = 0
+        for _ in range(histogram[length]):
+            best = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if best is not None and rooms[best] >= length:
+                rooms[best] -= length
+            else:
+                opened += 1
+        rooms += [64 - length] * opened
+    found = packing.patterns(histogram, 64)
+    assert sorted(rooms) == sorted(64 - sum(lengths) for count, lengths in found for _ in range(count))
+
+
 def test_encoder_gives_the_tokenizers_ids(monkeypatch):
     """Random texts of letters, marks, digits, special strings and odd characters; the cache is cleared on the way."""
     import public_tokenizers

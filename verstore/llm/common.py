@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verstore.sources.shared import settled
+
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK = 8 << 20
 
@@ -21,15 +22,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder.
-
-    spark.checkpoint.dir is taken from the session; only where it is unset
-    (local tests) a folder of our own is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verstore-"))
-    return df.checkpoint()
+    """df with its lineage cut by a checkpoint in the folder that the session names in spark.checkpoint.dir."""
+    return settled(df)
 
 
 def held_out(doc_id):

@@ -12,8 +12,8 @@ from verstore.llm.common import cut, read, tidy
 from verstore.llm.components import connected_components
 
 COSINE = 0.95
-#: Shards at least; vectors of a shard, of a block of queries and of the queries of one task, about.
-SHARDS, SHARD, QUERIES, SPLIT = 6, 200_000, 4096, 1_000_000
+#: Shards at least; vectors of a shard and bytes of its graph at most; vectors of a block of queries and of the queries of one task, about.
+SHARDS, SHARD, BYTES, QUERIES, SPLIT = 6, 200_000, 192 << 20, 4096, 250_000
 #: Neighbours of a node, beam in building, first beam of a query, audited queries of a block and their least recall.
 LINKS, BUILD, BEAM, AUDIT, RECALL = 16, 32, 16, 64, 0.99
 WIDTH = 4
@@ -290,7 +290,8 @@ def embedding_links(rows: DataFrame, cosine: float = COSINE, shards: int | None
     rows: id, v, w: distinct vectors and how many copies each stands for.
     """
     count, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).collect()[0]
-    shards = shards or max(SHARDS, -(-count // SHARD))
+    # Doubles and floats of a vector, and its neighbours.
+    shards = shards or max(SHARDS, -(-count // SHARD), -(-count * (12 * width + 12 * LINKS + 32) // BYTES))
     blocks, split = max(1, -(-count // QUERIES)), max(1, -(-count // SPLIT))
 
     def build(table: pa.Table) -> pa.Table:
