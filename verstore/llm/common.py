@@ -15,6 +15,8 @@ from verstore.sources.shared import settled
 
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK = 8 << 20
+#: Numbers of rows that are broadcast at most, some 25 MB.
+SMALL = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,10 +87,14 @@ def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def only(docs: DataFrame, row: str, keep: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose number is in the one column of keep (left_anti: is not), with `columns` only."""
+def without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of docs, `columns` only, whose number is not in the one column of gone.
+
+    gone is settled and counted first: up to SMALL numbers are broadcast, more make both sides move.
+    """
     own = fresh(docs.columns, "__of")
-    return docs.join(keep.toDF(own), F.col(row) == F.col(own), how).select(*columns)
+    gone = cut(gone.toDF(own))
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, F.col(row) == F.col(own), "left_anti").select(*columns)
 
 
 def tidy(function):

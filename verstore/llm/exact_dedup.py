@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import only, read, with_rows
+from verstore.llm.common import cut, read, with_rows, without
 
 #: Copies beyond which a text's group is large, at least; large groups are broadcast, MANY at most.
 LARGE, MANY = 1000, 1000
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result.
     """
     keyed = keyed_rows(docs, id_col, text_col, hash_bits)
-    classes = content_classes(keyed)
+    classes = cut(content_classes(keyed))  # hashes and numbers only
     # A large group's rows would meet in one task below: they get its class from a broadcast, and go anywhere.
     large = classes.where(F.col("group_size") > max(LARGE, docs.count() // MANY)).select("h", "sha", F.struct("keep_id", "group_size").alias("known"))
     rows = keyed.select("id", "h", "sha").join(F.broadcast(large), ["h", "sha"], "left")
@@ -60,8 +60,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     one.  An empty table stays empty; columns of any name are kept.
     """
     rows, row = with_rows(docs)
-    keep = exact_dedup(rows.select(F.col(row).alias("doc_id"), "text")).where("kept").select("doc_id")
-    return only(rows, row, keep, docs.columns)
+    gone = exact_dedup(rows.select(F.col(row).alias("doc_id"), "text")).where("not kept").select("doc_id")
+    return without(rows, row, gone, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, held_out, in_batches, only, read, share, taken, tidy, with_rows, words
+from verstore.llm.common import chunks, held_out, in_batches, read, share, taken, tidy, with_rows, without, words
 
 #: Labelled documents that a language's model is fitted on, at most, and their distinct words, the most frequent first.
 SAMPLE, WORDS = 300, 100_000
@@ -16,8 +16,8 @@ WORD = 32
 ROUNDS, SMOOTHING = 3, 0.05
 #: The vocabulary's mark of a space before a word.
 SPACE = "▁"
-#: Numbers that the forward sum holds at a time, about.
-CELLS = 8 << 20
+#: Numbers that the forward sum holds at a time, about; words whose sums a task remembers.
+CELLS, CACHE = 8 << 20, 300_000
 
 
 def public_pieces(path: str | None = None) -> list[str]:
@@ -192,19 +192,43 @@ def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
     return Model(langs, pieces or public_pieces()).fit(counts)
 
 
-def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+class Words:
+    """Sums of the distinct words that a task has met, so that each is worked out once."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sums = np.zeros((0, len(self.model.langs)))
+
+    def of(self, strings: pa.Array) -> np.ndarray:
+        own = strings.to_pylist()
+        new = [w for w in own if w not in self.number]
+        if len(self.number) + len(new) > CACHE:
+            self.clear()
+            new = own
+        if new:
+            self.sums = np.concatenate([self.sums, self.model.log_likelihood(*code_points(pa.array(new, pa.string())))])
+            self.number.update(zip(new, range(len(self.number), len(self.sums))))
+        return self.sums[np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))]
+
+
+def predict(known: Words, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and its probability for each text; und and 0 for texts without a letter."""
     at, flat = words(texts)
     letter = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
-    if not model.langs:
+    langs = known.model.langs
+    if not langs:
         return ["und"] * len(texts), np.zeros(len(texts))
     index, strings = spaced(flat)
-    ll = model.log_likelihood(*code_points(strings))
+    sums = known.of(strings)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    total = np.stack([np.bincount(doc, weights=own[index], minlength=len(texts)) for own in ll.T], axis=1)
+    total = np.stack([np.bincount(doc, weights=own[index], minlength=len(texts)) for own in sums.T], axis=1)
     odds = np.exp(total - total.max(axis=1, keepdims=True))
     best, share_of = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
-    return [model.langs[b] if c else "und" for b, c in zip(best, letter)], np.where(letter, share_of, 0.0)
+    return [langs[b] if c else "und" for b, c in zip(best, letter)], np.where(letter, share_of, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -219,9 +243,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     shared = share(docs.sparkSession, model)
 
     def run(batches):
-        model = taken(shared)
+        known = Words(taken(shared))
         for part in chunks(batches):
-            lang, score = predict(model, part.column("text"))
+            lang, score = predict(known, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     rows = docs.select(key, "text")
@@ -236,7 +260,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
     """
     rows, row = with_rows(docs)
     found = identify(rows.select(F.col(row).alias("row"), "text"), model, "row")
-    return only(rows, row, found.where("lang_pred = 'und' OR score < 0.5").select("row"), docs.columns, "left_anti")
+    return without(rows, row, found.where("lang_pred = 'und' OR score < 0.5").select("row"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

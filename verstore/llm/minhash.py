@@ -8,15 +8,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, cut, in_batches, only, read, tidy, with_rows, words
+from verstore.llm.common import SMALL, chunks, cut, in_batches, read, tidy, with_rows, without, words
 from verstore.llm.components import connected_components
 
 #: Bands and registers of a band; mantissa bits of a register.
 BANDS, ROWS, MANTISSA = 25, 5, 10
 #: Members that one task compares with each other, and shingles they may hold together.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Ids that are broadcast at most (some 25 MB); above it the documents are shuffled instead.
-SMALL = 500_000
 WORDS, PERCENT = 5, 80
 
 _rng = np.random.default_rng(7)
@@ -217,7 +215,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     """
     rows, row = with_rows(docs)
     drop = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), n, percent).where("not kept").select("doc_id")
-    return only(rows, row, drop, docs.columns, "left_anti")
+    return without(rows, row, drop, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
