@@ -16,8 +16,8 @@ WORD = 32
 ROUNDS, SMOOTHING = 3, 0.05
 #: The vocabulary's mark of a space before a word.
 SPACE = "▁"
-#: Numbers that the forward sum holds at a time, about; words whose sums a task remembers.
-CELLS, CACHE = 8 << 20, 300_000
+#: Numbers that the forward sum holds at a time, about.
+CELLS = 1 << 20
 
 
 def public_pieces(path: str | None = None) -> list[str]:
@@ -32,7 +32,11 @@ def public_pieces(path: str | None = None) -> list[str]:
 def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points, and each string's start with the end at last."""
     size = pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(strings):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    edges = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    flat = np.frombuffer((data.to_pybytes()[edges[0] : edges[-1]] if data else b"").decode().encode("utf-32-le"), np.uint32)
     return flat, np.concatenate([[0], np.cumsum(size)])
 
 
@@ -192,43 +196,19 @@ def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
     return Model(langs, pieces or public_pieces()).fit(counts)
 
 
-class Words:
-    """Sums of the distinct words that a task has met, so that each is worked out once."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.model.langs)))
-
-    def of(self, strings: pa.Array) -> np.ndarray:
-        own = strings.to_pylist()
-        new = [w for w in own if w not in self.number]
-        if len(self.number) + len(new) > CACHE:
-            self.clear()
-            new = own
-        if new:
-            self.sums = np.concatenate([self.sums, self.model.log_likelihood(*code_points(pa.array(new, pa.string())))])
-            self.number.update(zip(new, range(len(self.number), len(self.sums))))
-        return self.sums[np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))]
-
-
-def predict(known: Words, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and its probability for each text; und and 0 for texts without a letter."""
     at, flat = words(texts)
     letter = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
-    langs = known.model.langs
-    if not langs:
+    if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
     index, strings = spaced(flat)
-    sums = known.of(strings)
+    sums = model.log_likelihood(*code_points(strings))
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     total = np.stack([np.bincount(doc, weights=own[index], minlength=len(texts)) for own in sums.T], axis=1)
     odds = np.exp(total - total.max(axis=1, keepdims=True))
     best, share_of = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
-    return [langs[b] if c else "und" for b, c in zip(best, letter)], np.where(letter, share_of, 0.0)
+    return [model.langs[b] if c else "und" for b, c in zip(best, letter)], np.where(letter, share_of, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -243,9 +223,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     shared = share(docs.sparkSession, model)
 
     def run(batches):
-        known = Words(taken(shared))
+        model = taken(shared)
         for part in chunks(batches):
-            lang, score = predict(known, part.column("text"))
+            lang, score = predict(model, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     rows = docs.select(key, "text")

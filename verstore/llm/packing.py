@@ -37,7 +37,7 @@ class Encoder:
     Words that differ in case only, or in the marks after their letters, share the letters' encoding.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, cache: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,7 +48,7 @@ class Encoder:
         whole, simple, plain = (Tokenizer.from_file(path) for _ in range(3))
         simple.normalizer = plain.normalizer = normalizers.Sequence([])
         plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.kinds = [plain, simple, whole]
+        self.kinds, self.cache = [plain, simple, whole], cache or CACHE
         (self.mark,) = whole.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
@@ -115,7 +115,7 @@ class Encoder:
         coded = flat.dictionary_encode()
         strings = coded.dictionary.to_pylist()
         new = [s for s in strings if s not in self.number]
-        if self.number and len(self.number) + len(new) > CACHE:
+        if self.number and len(self.number) + len(new) > self.cache:
             self.clear()
             new = strings
         if new:
@@ -131,7 +131,7 @@ class Encoder:
             yield a, ids, run[at[a : b + 1] - at[a]]
 
 
-def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER, cache: int | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document cut every `sequence` ids."""
 
     def run(batches):
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
             gc.enable()  # the worker serves other tasks later
 
     def encoded(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, cache)
         for part in chunks(gathered(batches, gather), limit=2 * gather):
             rows: list[list] = [[], [], [], [], []]
             for first, ids, at in encoder.encode(part.column("text")):
@@ -216,7 +216,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     return keyed.join(sizes, ["length", "cell"]).withColumn("rank", F.col("before") + inside - 1).drop("cell", "before")
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER, cache: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone.  Documents longer than a sequence
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     the histogram of lengths (at most `sequence` rows) and its patterns.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, path, sequence, end, gather))
+    rows = cut(pieces(docs, path, sequence, end, gather, cache))
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
     places = slots(patterns(histogram, sequence))
     table = spark.createDataFrame(places, "length long, first long, n long, at long, offset long")
