@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verstore.llm.common import chunks, cut, gathered, read, tidy, words
+from verstore.llm.common import chunks, gathered, in_batches, read, tidy, words
 
 #: Ids in a sequence; the id that ends a document; cells by which equal lengths are ranked.
 SEQUENCE, END, CELLS = 4096, 2, 1024
@@ -44,14 +44,19 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        path = path or public_tokenizers.path("word_bpe_49k.json")
-        whole, simple, plain = (Tokenizer.from_file(path) for _ in range(3))
-        simple.normalizer = plain.normalizer = normalizers.Sequence([])
-        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.kinds, self.cache = [plain, simple, whole], cache or CACHE
-        (self.mark,) = whole.encode(MARK, add_special_tokens=False).ids
+        self.tokenizer, self.cache = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json")), cache or CACHE
+        whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        none = normalizers.Sequence([])
+        plain = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # One vocabulary in memory; its steps before the merges are changed with the kind of word.
+        self.kinds = [(none, plain), (none, whole[1]), whole]
+        (self.mark,) = self._set(2).encode(MARK, add_special_tokens=False).ids
         self.clear()
 
+    def _set(self, kind: int):
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.kinds[kind]
+        return self.tokenizer
+
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -86,8 +91,8 @@ class Encoder:
                 k, own = (1, low) if SIMPLE(low) else (2, s)
             units[k][own] = None
             single.append((s, own))
-        coded = [self._many(t, list(own)) for t, own in zip(self.kinds, units)]
-        alone = [np.array(self.kinds[2].encode(s, add_special_tokens=False).ids, np.uint32) for s in units[3]]
+        coded = [self._many(self._set(kind), list(units[kind])) for kind in range(3)]
+        alone = [np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, np.uint32) for s in units[3]]
         coded.append((np.concatenate(alone) if alone else self.ids[:0], np.array([len(x) for x in alone], np.int64)))
         ids = np.concatenate([c[0] for c in coded])
         start = np.concatenate([[0], np.cumsum(np.concatenate([c[1] for c in coded]))])
@@ -216,7 +221,7 @@ def ranked(rows: DataFrame) -> DataFrame:
     return keyed.join(sizes, ["length", "cell"]).withColumn("rank", F.col("before") + inside - 1).drop("cell", "before")
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER, cache: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end: int = END, gather: int = GATHER, cache: int | None = None, batch: int = 10_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone.  Documents longer than a sequence
@@ -226,7 +231,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
     the histogram of lengths (at most `sequence` rows) and its patterns.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, path, sequence, end, gather, cache))
+    rows = in_batches(pieces(docs, path, sequence, end, gather, cache), batch)
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}
     places = slots(patterns(histogram, sequence))
     table = spark.createDataFrame(places, "length long, first long, n long, at long, offset long")
