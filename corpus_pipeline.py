@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; longer texts than a sequence are cut.  Rows that repeat are packed each.
     """
-    return packing.pack(docs, gather=6 << 20, cache=300_000)  # earlier stages leave less memory
+    return packing.pack(docs, gather=2 << 20, cache=100_000, batch=2500)  # earlier stages leave less memory
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
