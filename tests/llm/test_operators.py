@@ -109,6 +109,36 @@ def test_near_duplicates_of_odd_rows(spark, docs):
     assert got == sorted([(1, 4, 1), (2, 4, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 4, 6), (7, 1, 7), (8, 1, 8), (9, 4, 1), (9, 4, 1), (-1, 2, None)])
 
 
+def test_members_of_different_components_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(1, i, 3, 0 if i < 200 else i // 4) for i in range(220)]  # one huge component and five small ones
+    rows += [(2, 1000 + i, 3, 500 + i % 2) for i in range(40)]  # two of one size
+    rows += [(3, 2000, 3, 600), (3, 2001, 3, 601)]
+    out = minhash.opposed(spark.createDataFrame(rows, "key long, id long, n long, component long")).collect()
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r.gid, r.block), []).append((r.id, r.component))
+    met = {(g, *sorted((a, b))) for (g, _), m in blocks.items() for a, p in m for b, q in m if p != q}
+    assert met == {(k, *sorted((a, b))) for k, a, _, p in rows for l, b, _, q in rows if k == l and p != q}
+    # 25, 3 and 1 parts of the largest components, 3, 3 and 1 of the rest.
+    assert len(out) == (200 * 3 + 20 * (25 + 2)) + (20 * 3 + 20 * (3 + 2)) + 2
+    # Of the huge component no two blocks are set against each other.
+    assert len({b for g, b in blocks if g == 1}) <= 25 * 3 + 3
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_a_huge_group_beside_others_in_its_buckets(spark, monkeypatch, block):
+    """Copies with one word changed at the end of a long text share buckets with texts that are near, but not near enough."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[:-1] + [f"end{i}"]) for i in range(12)] + [" ".join([*base[: 33 - i], *(f"o{i}x{k}" for k in range(7 + i))]) for i in range(6)]
+    rows = list(enumerate(texts))[::-1]
+    sets = minhash.shingle_sets(pa.array([t for _, t in rows]), 3)
+    links = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - k)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == components(links, [i for i, _ in rows])
+
+
 def test_block_prunes_but_loses_no_component():
     sets = minhash.shingle_sets(pa.array([t for _, t in made(3, 80, 50)]), 3)
     ids = np.arange(len(sets))

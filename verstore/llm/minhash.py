@@ -164,6 +164,26 @@ def parts(count, shingles):
     return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("long")
 
 
+def opposed(members: DataFrame) -> DataFrame:
+    """(gid, block, id, n, component): blocks in which any two members of one bucket (key) but different components meet.
+
+    members: key, id, n, component.  A bucket's largest component, by shingles, is never set against itself: its
+    parts meet those of all the rest, and these each other.  So a huge group that shares a bucket
+    with a few others is read as often as they fill blocks, mostly once.
+    """
+    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    per = per.groupBy("key").agg(F.max(F.struct("s", "c", "component")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    per = per.select("key", F.col("top.component").alias("top"), parts(F.col("top.c"), F.col("top.s")).alias("big"), parts(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("few"))
+    big, few, own = F.col("big"), F.col("few"), F.col("own")
+    numbers = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    inside = F.col("component") == F.col("top")
+    rows = members.join(per, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(inside, big).otherwise(few)))
+    against = F.transform(numbers(big), lambda b: b * few + own)
+    others = F.transform(F.filter(numbers(few), lambda o: o != own), lambda o: (big + F.least(o, own)) * few + F.greatest(o, own))
+    blocks = F.when(inside, F.transform(numbers(few), lambda o: own * few + o)).otherwise(F.concat(against, others))
+    return rows.select(F.col("key").alias("gid"), F.explode(blocks).alias("block"), "id", "n", "component")
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -172,7 +192,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     reachable.  Documents with one set are linked without comparison.
     Candidates share a band of registers; pairs of similarity 0.8 (0.85) miss every band with a
     probability of 5e-5 (4e-7).  First each bucket's members meet its smallest one; then
-    the buckets that still hold several components are compared in full, in
+    in buckets that still hold several components all members of different ones are compared, in
     blocks of bounded size.  Null and empty texts have the empty set and no links.
     Rows with equal ids get the component of their set each; rows with a null id
     have a null component and are not kept apart: kept is null.  Other columns are not read.
@@ -192,13 +212,12 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     known = connected_components(first)
     named = cut(reps.join(known, "id", "left").select("set_hash", "id", "n", "keys", F.coalesce("component", "id").alias("component")))
     bands = named.select("id", "n", "component", F.explode("keys").alias("key"))
-    apart = bands.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign")).where("x <> y")
+    signs = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"sign{k}") for k in (0, 1)]
+    apart = bands.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c"), *signs).where("x <> y")
     # Buckets of the same members are one.
-    apart = apart.groupBy("c", "s", "sign").agg(F.min("key").alias("key")).select("key", parts(F.col("c"), F.col("s")).alias("blocks"))
-    rows = bands.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    rest = in_batches(confirmed(rows.select(F.col("key").alias("gid"), pair.alias("block"), "id", "n", "component"), docs, n, percent))
+    apart = apart.groupBy("c", "sign0", "sign1").agg(F.min("key").alias("key")).select("key")
+    rows = opposed(cut(bands.join(apart, "key")))
+    rest = in_batches(confirmed(rows, docs, n, percent))
     merged = connected_components(rest.unionByName(first))
     final = named.select("set_hash", "id").join(merged, "id", "left").select(F.col("set_hash").alias("own"), F.coalesce("component", "id").alias("found"))
     out = sketch.drop("keys").join(final, (F.col("set_hash") == F.col("own")) & (F.col("n") > 0), "left")
