@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     sets = sketch.where("n > 0 and doc_id is not null")
     reps = cut(sets.groupBy("set_hash").agg(F.min(F.struct(ids.alias("id"), "n", "keys")).alias("r")).select("set_hash", "r.*"))
     bands = reps.select("id", "n", F.explode("keys").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    stars = cut(bands.join(leaders, "key").where("id <> lead.id").select(F.col("lead.id").alias("gid"), F.col("lead.n").alias("gn"), "id", "n").where("100 * least(n, gn) >= {0} * greatest(n, gn)".format(percent)).distinct())
+    leaders = bands.groupBy("key").agg(F.min("id").alias("gid"), F.min_by("n", "id").alias("gn"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    stars = cut(bands.join(leaders, "key").where("id <> gid").select("gid", "gn", "id", "n").where("100 * least(n, gn) >= {0} * greatest(n, gn)".format(percent)).distinct())
     sizes = stars.groupBy("gid", "gn").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("gid", "gn", parts(F.col("c"), F.col("s")).alias("blocks"))
     followers = stars.drop("gn").join(sizes.drop("gn"), "gid").select("gid", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "n")
     heads = sizes.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("gid").alias("id"), F.col("gn").alias("n"))
@@ -212,10 +212,12 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     known = connected_components(first)
     named = cut(reps.join(known, "id", "left").select("set_hash", "id", "n", "keys", F.coalesce("component", "id").alias("component")))
     bands = named.select("id", "n", "component", F.explode("keys").alias("key"))
-    signs = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"sign{k}") for k in (0, 1)]
+    # 24 bits at a time, so no sum overflows; where an id repeats in a bucket, it cancels in the last one only.
+    h = F.xxhash64("id")
+    signs = [F.sum(F.shiftrightunsigned(h, 40)).alias("sign0"), F.sum(h.bitwiseAND(F.lit(0xFFFFFF))).alias("sign1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("sign2")]
     apart = bands.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c"), *signs).where("x <> y")
     # Buckets of the same members are one.
-    apart = apart.groupBy("c", "sign0", "sign1").agg(F.min("key").alias("key")).select("key")
+    apart = apart.groupBy("c", "sign0", "sign1", "sign2").agg(F.min("key").alias("key")).select("key")
     rows = opposed(cut(bands.join(apart, "key")))
     rest = in_batches(confirmed(rows, docs, n, percent))
     merged = connected_components(rest.unionByName(first))
